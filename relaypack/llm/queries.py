@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relaypack.llm import bpe
+from relaypack.llm import bpe, matroska, mixing, topk
 from relaypack.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,22 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_source_mix": op2_source_mix,
+    "op4_matroska": op4_matroska,
+    "op7_exact_top_k": op7_exact_top_k,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
