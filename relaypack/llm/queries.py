@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relaypack.llm import bpe, matroska, mixing, topk
+from relaypack.llm import bpe, html_density, matroska, mixing, token_store, topk
 from relaypack.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read_back(spark, token_store.write(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -30,6 +38,8 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_html_density": op5_html_density,
+    "op8_token_store": op8_token_store,
     "op2_source_mix": op2_source_mix,
     "op4_matroska": op4_matroska,
     "op7_exact_top_k": op7_exact_top_k,
