@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relaypack.llm import bpe, html_density, matroska, mixing, substring, token_store, topk
+from relaypack.llm import bpe, html_density, matroska, mixing, neardup, substring, token_store, topk
 from relaypack.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,12 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=2)
+
+
 QUERIES: dict[str, Query] = {
+    "op10_near_duplicates": op10_near_duplicates,
     "op1_substring_dedup": op1_substring_dedup,
     "op5_html_density": op5_html_density,
     "op8_token_store": op8_token_store,
