@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relaypack.llm import bpe, html_density, matroska, mixing, neardup, substring, token_store, topk
+from relaypack.llm import bpe, html_density, langid, licenses, matroska, mixing, neardup, substring, token_store, topk
 from relaypack.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,18 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.documents(spark, table(spark, sf_dir, "documents"))
+
+
+def llm_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.pages(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
@@ -46,6 +58,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_language_id": op3_language_id,
+    "op9_license_scan": op9_license_scan,
+    "llm_page_languages": llm_page_languages,
     "op10_near_duplicates": op10_near_duplicates,
     "op1_substring_dedup": op1_substring_dedup,
     "op5_html_density": op5_html_density,
