@@ -100,92 +100,95 @@ def fit(labelled: DataFrame, *, key: str, text: str, label: str, sample: int = S
     return [*names, UNKNOWN], model
 
 
-def likelihoods(rows: DataFrame, model: np.ndarray, *, key: str, text: str, keep: list[str]) -> DataFrame:
-    """key, ``keep``, n (letter trigrams), ll (tempered log-likelihood per language)."""
-    columns = [F.col(text).alias("__text"), F.col(key).alias(key), *keep]
-    names = [key, *keep, "n", "ll"]
-    sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # (2**BITS + 1) x (LANGUAGES + 1) floats at most: 16 MB
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
+def _base(languages: list[str]) -> np.ndarray:
+    """Prior of each language without other evidence."""
+    return np.array([UNKNOWN_PRIOR if x == UNKNOWN else (1 - UNKNOWN_PRIOR) / max(1, len(languages) - 1) for x in languages])
+
+
+def likelihoods(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
+    """id, host, suffix, declared, n (letter trigrams), x (log of text and declared evidence), p (its posterior, zeros without letters)."""
+    names = ["id", "host", "suffix", "declared", "n", "x", "p"]
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # (2**BITS + 1) x (LANGUAGES + 1) floats at most: 16 MB
+    place = {lang: i for i, lang in enumerate(languages) if lang != UNKNOWN}
+    k = len(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for at, part in slices([x or "" for x in batch.column(0).to_pylist()]):
+            for at, part in slices([x or "" for x in batch.column(4).to_pylist()]):
                 bucket, start = trigrams(part)
                 total = np.add.reduceat(model[bucket], start, axis=0, dtype=np.float64)
                 n = np.add.reduceat((bucket < 1 << BITS).astype(np.int64), start)
-                ll = total * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * ll.shape[1]), pa.array(ll.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i + 1).slice(at, len(part)) for i in range(len(names) - 2)), pa.array(n), flat], names)
-
-    kinds = dict(rows.select(*columns).dtypes)
-    return rows.select(*columns).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names[:-2]) + ", n bigint, ll array<double>")
-
-
-def _softmax(logits: list[Column]) -> list[Column]:
-    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    each = [F.exp(x - top) for x in logits]
-    total = sum(each[1:], each[0])
-    return [e / total for e in each]
-
-
-def identify(spark: SparkSession, rows: DataFrame, languages: list[str], model: np.ndarray, *, key: str, text: str, host: str, suffix: str, declared: str) -> DataFrame:
-    """key, language, probability, text_language, accepted, n_trigrams, host, suffix, declared for each row."""
-    named = rows.select(F.col(key).alias(key), F.col(text).alias("__t"), F.col(host).alias("host"), F.col(suffix).alias("suffix"), F.lower(F.regexp_extract(F.col(declared), "^[a-zA-Z]{2,3}", 0)).alias("declared"))
-    told = likelihoods(named, model, key=key, text="__t", keep=["host", "suffix", "declared"])
-    n = len(languages)
-    known = [x for x in languages if x != UNKNOWN]
-    heard = F.col("declared").isin(known) if known else F.lit(False)
-    logits = []
-    for i, lang in enumerate(languages):
-        base = UNKNOWN_PRIOR if lang == UNKNOWN else (1 - UNKNOWN_PRIOR) / max(1, n - 1)
-        said = F.when(F.coalesce(heard, F.lit(False)), F.when(F.col("declared") == lang, float(np.log(DECLARED))).otherwise(float(np.log((1 - DECLARED) / max(1, n - 1))))).otherwise(0.0)
-        logits.append((F.col("ll")[i] + said + float(np.log(base))).alias(f"x{i}"))
-    told = told.select(key, "host", "suffix", "declared", "n", *logits)
-    own = [F.when(F.col("n") > 0, p).otherwise(0.0).alias(f"p{i}") for i, p in enumerate(_softmax([F.col(f"x{i}") for i in range(n)]))]
-    told = materialize(spark, told.select("*", *own), "likelihoods")
-    sums = [F.sum(f"p{i}") for i in range(n)]
-    by_host = materialize(spark, told.where("host is not null").groupBy("host").agg(*(s.alias(f"h{i}") for i, s in enumerate(sums))), "hosts")
-    by_suffix = materialize(spark, told.where("suffix is not null").groupBy("suffix").agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))), "suffixes")
-    every = told.agg(*(F.coalesce(s, F.lit(0.0)) for s in sums)).first()
-    wide = told.join(by_host, "host", "left").join(by_suffix, "suffix", "left")
-    less = lambda total, i: F.greatest(F.coalesce(F.col(total) - F.col(f"p{i}"), F.lit(0.0)), F.lit(0.0))
-    own_all = sum((F.col(f"p{i}") for i in range(1, n)), F.col("p0"))
-    all_n = float(sum(every))
-    g = [(F.greatest(F.lit(float(every[i])) - F.col(f"p{i}"), F.lit(0.0)) + 1.0) / (F.lit(all_n) - own_all + float(n)) for i in range(n)]
-    country = F.create_map(*(F.lit(x) for pair in COUNTRY.items() for x in pair))[F.lower("suffix")]
-    bonus = [F.when(country == lang, COUNTRY_WEIGHT).otherwise(0.0) for lang in languages]
-    bonus = [F.coalesce(b, F.lit(0.0)) for b in bonus]
-    s_n = sum((less(f"s{i}", i) for i in range(1, n)), less("s0", 0))
-    s = [(less(f"s{i}", i) + bonus[i] + SUFFIX_WEIGHT * g[i]) / (s_n + sum(bonus[1:], bonus[0]) + SUFFIX_WEIGHT) for i in range(n)]
-    wide = wide.select("*", *(x.alias(f"ps{i}") for i, x in enumerate(s)))
-    h_n = sum((less(f"h{i}", i) for i in range(1, n)), less("h0", 0))
-    h = [(less(f"h{i}", i) + HOST_WEIGHT * F.col(f"ps{i}")) / (h_n + HOST_WEIGHT) for i in range(n)]
-    uniform = [UNKNOWN_PRIOR if x == UNKNOWN else (1 - UNKNOWN_PRIOR) / max(1, n - 1) for x in languages]
-    final = _softmax([F.col(f"x{i}") - float(np.log(uniform[i])) + F.log(h[i]) for i in range(n)])
-    wide = wide.select("*", *(p.alias(f"q{i}") for i, p in enumerate(final)))
-
-    def best(cols: list[str]) -> Column:
-        top = F.greatest(*cols) if len(cols) > 1 else F.col(cols[0])
-        pick = F.lit(languages[-1])
-        for i in range(n - 1, -1, -1):
-            pick = F.when(F.col(cols[i]) == top, languages[i]).otherwise(pick)
-        return pick
-
-    q = [f"q{i}" for i in range(n)]
-    letters = F.col("n") > 0
-    out = wide.select(
-        key, F.when(letters, best(q)).otherwise(UNKNOWN).alias("language"), F.when(letters, F.greatest(*q) if n > 1 else F.col(q[0])).otherwise(0.0).alias("probability"),
-        F.when(letters, best([f"x{i}" for i in range(n)])).otherwise(UNKNOWN).alias("text_language"), F.col("n").alias("n_trigrams"), "host", "suffix", "declared",
-    )
-    return out.withColumn("accepted", F.col("language") != UNKNOWN)
+                x = total * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
+                said = np.array([place.get(d, -1) for d in batch.column(3).slice(at, len(part)).to_pylist()])
+                heard = np.flatnonzero(said >= 0)
+                x[heard] += np.log((1 - DECLARED) / max(1, k - 1))
+                x[heard, said[heard]] += np.log(DECLARED) - np.log((1 - DECLARED) / max(1, k - 1))
+                p = _softmax(x + np.log(_base(languages))) * (n > 0)[:, None]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(part)) for i in range(4)), pa.array(n), _lists(x), _lists(p)], names)
+
+    return rows.select("id", "host", "suffix", "declared", "text").mapInArrow(run, "id bigint, host string, suffix string, declared string, n bigint, x array<double>, p array<double>")
+
+
+def identify(spark: SparkSession, rows: DataFrame, languages: list[str], model: np.ndarray, *, key: str) -> DataFrame:
+    """key, language, probability, text_language, accepted, n_trigrams, host, suffix, declared for each row of ``rows`` (id, text, host, suffix, declared)."""
+    told = materialize(spark, likelihoods(rows, languages, model), "likelihoods")
+    k = len(languages)
+    sums = F.array(*(F.sum(F.col("p")[i]) for i in range(k)))
+    by_host = materialize(spark, told.where("host is not null").groupBy("host").agg(sums.alias("by_host")), "hosts")
+    by_suffix = materialize(spark, told.where("suffix is not null").groupBy("suffix").agg(sums.alias("by_suffix")), "suffixes")
+    every = np.array(told.agg(sums.alias("all")).first()[0], float)
+    every = np.where(np.isnan(every), 0.0, every)
+    wide = told.join(by_host, "host", "left").join(by_suffix, "suffix", "left").select("id", "host", "suffix", "declared", "n", "x", "p", "by_host", "by_suffix")
+    country = {c: languages.index(lang) for c, lang in COUNTRY.items() if lang in languages}
+    names = ["id", "host", "suffix", "declared", "n_trigrams", "language", "probability", "text_language", "accepted"]
+    codes = np.array(languages, dtype=object)
+
+    def rows_of(col: pa.Array) -> np.ndarray:
+        return np.array([v if v is not None else (0.0,) * k for v in col.to_pylist()], float).reshape(-1, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(4).to_numpy()
+            x, own, host, suffix = (rows_of(batch.column(i)) for i in range(5, 9))
+            above = (np.maximum(every - own, 0) + 1) / (np.maximum(every - own, 0) + 1).sum(axis=1, keepdims=True)
+            suffix = np.maximum(suffix - own, 0)
+            for i, c in enumerate(batch.column(2).to_pylist()):
+                if c is not None and c.lower() in country:
+                    suffix[i, country[c.lower()]] += COUNTRY_WEIGHT
+            level = (suffix + SUFFIX_WEIGHT * above) / (suffix.sum(axis=1, keepdims=True) + SUFFIX_WEIGHT)
+            host = np.maximum(host - own, 0)
+            prior = (host + HOST_WEIGHT * level) / (host.sum(axis=1, keepdims=True) + HOST_WEIGHT)
+            q = _softmax(x + np.log(prior))
+            best, heard = q.argmax(axis=1), n > 0
+            language = np.where(heard, codes[best], UNKNOWN)
+            text = np.where(heard, codes[(x + np.log(_base(languages))).argmax(axis=1)], UNKNOWN)
+            chance = np.where(heard, q[np.arange(len(q)), best], 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(language, pa.string()), pa.array(chance), pa.array(text, pa.string()), pa.array(language != UNKNOWN, pa.bool_())], names)
+
+    out = wide.mapInArrow(run, "id bigint, host string, suffix string, declared string, n_trigrams bigint, language string, probability double, text_language string, accepted boolean")
+    return out.select(F.col("id").alias(key), "language", "probability", "text_language", "accepted", "n_trigrams", "host", "suffix", "declared")
+
+
+def _declared(col: str) -> Column:
+    """The primary subtag of the lang attribute of an html element, lower-cased; null if there is none."""
+    return F.nullif(F.lower(F.regexp_extract(col, r"(?i)<html[^>]{0,200}\slang=[\"']?([a-zA-Z]{2,3})\b", 1)), F.lit(""))
 
 
 def documents(spark: SparkSession, docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     """Languages of ``documents``: the source is the host, its last part after a dot the suffix, a lang attribute in the text the declaration; the lang column labels the fit."""
     languages, model = fit(docs, key="doc_id", text="text", label="lang", sample=sample)
-    rows = docs.select("doc_id", "text", F.col("source").alias("host"), F.nullif(F.regexp_extract("source", r"\.([a-zA-Z]{2,})$", 1), F.lit("")).alias("suffix"), F.nullif(F.regexp_extract("text", r"(?i)<html[^>]{0,200}\slang=[\"']?([a-zA-Z-]+)", 1), F.lit("")).alias("declared"))
-    return identify(spark, rows, languages, model, key="doc_id", text="text", host="host", suffix="suffix", declared="declared")
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("host"), F.nullif(F.regexp_extract("source", r"\.([a-zA-Z]{2,})$", 1), F.lit("")).alias("suffix"), _declared("text").alias("declared"))
+    return identify(spark, rows, languages, model, key="doc_id")
 
 
 def pages(spark: SparkSession, web: DataFrame, docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
@@ -193,5 +196,5 @@ def pages(spark: SparkSession, web: DataFrame, docs: DataFrame, *, sample: int =
     languages, model = fit(docs, key="doc_id", text="text", label="lang", sample=sample)
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1))
     bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>|&[a-zA-Z]+;", " ")
-    rows = web.select("page_id", bare.alias("text"), F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, r"\.([a-z]{2,})$", 1), F.lit("")).alias("suffix"), F.nullif(F.regexp_extract("html", r"(?i)<html[^>]{0,200}\slang=[\"']?([a-zA-Z-]+)", 1), F.lit("")).alias("declared"))
-    return identify(spark, rows, languages, model, key="page_id", text="text", host="host", suffix="suffix", declared="declared")
+    rows = web.select(F.col("page_id").alias("id"), bare.alias("text"), F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, r"\.([a-z]{2,})$", 1), F.lit("")).alias("suffix"), _declared("html").alias("declared"))
+    return identify(spark, rows, languages, model, key="page_id")
