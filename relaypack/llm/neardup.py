@@ -8,7 +8,9 @@
    Beta(m + 1, n - m + 1); a pair goes as soon as the chance that it reaches the threshold is below ``miss``.
 4. Survivors are confirmed on their full sets of words, not on hashes. Links give components.
 5. Buckets that still hold several components are searched for links between these: their members meet block by
-   block, with the same pruning and confirmation, so no link is lost to step 2. A block holds ``CHUNK`` members at most.
+   block. Those that the same test leaves a pair are confirmed block by block on full sets, by postings; a block gives
+   one link for two components, so pairs are never written out and no connection is lost to step 2. A block holds two
+   chunks of about ``CHUNK`` members.
 
 With the default bands a pair at the threshold shares none with a chance of about 3e-6; above it less.
 
@@ -196,29 +198,64 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return label.select("id", "comp")
 
 
-def _residual(members: DataFrame, need: list[tuple[int, int]]) -> DataFrame:
-    """Pairs of different components in a bucket that survive the test; ``members`` has key, n, id, comp, sig."""
+def _dealt(members: DataFrame, *columns: str) -> DataFrame:
+    """Deal a bucket's members (key, n, id, ...) to pairs of chunks: each member meets every chunk of its bucket."""
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), chunks).cast("int")
-    # a member meets every chunk of its bucket, under the pair (smaller, larger) of the two
-    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "comp", "sig")
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "comp", *columns)
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    ids, comp, mine = (table.column(c).to_numpy() for c in ("id", "comp", "mine"))
+    return ids, comp, np.flatnonzero(mine == i), np.flatnonzero(mine == j), i == j
+
+
+def _open_members(members: DataFrame, need: list[tuple[int, int]]) -> DataFrame:
+    """(key, id) of members (with band, sig) that a pair with another component survives the test in. A pair counts in the first bucket it shares."""
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ids, comp, mine = (table.column(c).to_numpy() for c in ("id", "comp", "mine"))
+        ids, comp, left, right, same = _sides(table)
+        band = table.column("band")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SIZE)
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        out_a, out_b = [], []
+        rows = sig[:, : band * ROWS].reshape(len(sig), band, ROWS)
+        live = np.zeros(len(ids), bool)
+        for x in left:
+            y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) | (not same))]
+            y = y[survivors(np.broadcast_to(sig[x], (len(y), SIZE)), sig[y], need)]
+            if len(y) and band:
+                y = y[~(rows[y] == rows[x]).all(axis=2).any(axis=1)]
+            live[y] = True
+            live[x] |= len(y) > 0
+        return pa.table({"key": table.column("key").filter(pa.array(live)), "id": table.column("id").filter(pa.array(live))})
+
+    return _dealt(members, "band", "sig").groupBy("key", "i", "j").applyInArrow(run, "key long, id long").distinct()
+
+
+def _block_links(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """One exact link (a, b) for each two components that are linked within two chunks of a bucket; ``members`` has the texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp, left, right, same = _sides(table)
+        number: dict[tuple[bytes, ...], int] = {}
+        sets = [np.array([number.setdefault(g, len(number)) for g in shingle_set(t, k)], np.int64) for t in table.column("text").cast(pa.binary()).to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate([sets[y] for y in right]) if len(right) else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(len(right)), size[right])
+        order = np.argsort(flat, kind="stable")
+        owner, start = owner[order], np.searchsorted(flat[order], np.arange(len(number) + 1))
+        found: dict[tuple[int, int], tuple[int, int]] = {}
         for x in left:
-            y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) | (i != j))]
-            live = y[survivors(np.broadcast_to(sig[x], (len(y), SIZE)), sig[y], need)]
-            out_a.append(np.minimum(ids[live], ids[x]))
-            out_b.append(np.maximum(ids[live], ids[x]))
-        a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (out_a, out_b))
+            g = sets[x]
+            both = np.bincount(np.concatenate([owner[start[z] : start[z + 1]] for z in g]), minlength=len(right)) if len(g) else np.zeros(len(right), np.int64)
+            ok = (comp[right] != comp[x]) & (both > 0) & (100 * both >= percent * (size[x] + size[right] - both))
+            for y in right[ok]:
+                pair = (min(ids[x], ids[y]), max(ids[x], ids[y]))
+                found.setdefault((min(comp[x], comp[y]), max(comp[x], comp[y])), pair)
+        a, b = ([p[z] for p in found.values()] for z in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return _dealt(members, "text").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
@@ -231,19 +268,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     named = told.join(shared, "set_hash", "left").select("doc_id", "n_shingles", "sig", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("id"))
     named = materialize(spark, named, "named")
     sigs = named.where("id = doc_id").select("id", "sig")
-    bucket = sigs.select("id", F.explode(_bands()).alias("key"))
+    bucket = sigs.select("id", F.posexplode(_bands()).alias("band", "key"))
     centers = materialize(spark, bucket.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1"), "centers")
-    stars = materialize(spark, bucket.join(centers, "key").where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    # members of shared buckets only; most keys are of one document
+    shared_rows = materialize(spark, bucket.join(centers, "key"), "buckets")
+    stars = materialize(spark, shared_rows.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(spark, docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "texts")
+    # always by a merge join: the plan is the same at every size
+    texts = materialize(spark, docs.select(F.col("doc_id").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi"), "texts")
     links = materialize(spark, _confirm(_prune(stars, sigs, need), texts, shingle, percent), "links")
     label = components(spark, links)
-    # what stars left out: buckets with members of several components
-    inside = bucket.join(centers.select("key", "n"), "key").join(label, "id", "left").select("key", "n", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = materialize(spark, inside.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").join(centers.where("n > 2").select("key", "n"), "key").select("key", "n"), "mixed")
-    members = bucket.join(mixed, "key").join(label, "id", "left").join(sigs, "id").select("key", "n", "id", F.coalesce("comp", "id").alias("comp"), "sig")
-    rest = materialize(spark, _residual(members, need).join(stars, ["a", "b"], "left_anti"), "rest")
-    more = materialize(spark, _confirm(rest, texts, shingle, percent), "more")
+    # what stars left out: buckets of three or more with members of several components
+    inside = materialize(spark, shared_rows.where("n > 2").join(label, "id", "left").select("key", "band", "n", "id", F.coalesce("comp", "id").alias("comp")), "inside")
+    mixed = materialize(spark, inside.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "mixed")
+    members = inside.join(mixed, "key").join(sigs, "id").select("key", "band", "n", "id", "comp", "sig")
+    open_ = materialize(spark, _open_members(members, need), "open")
+    counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    again = open_.join(materialize(spark, counts, "counts"), "key").join(label, "id", "left").join(texts, "id").select("key", "n", "id", F.coalesce("comp", "id").alias("comp"), "text")
+    more = materialize(spark, _block_links(again, shingle, percent), "more")
     if not more.isEmpty():
         label = components(spark, links.union(more))
     component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id"))
