@@ -17,9 +17,11 @@ ordered by text. An empty table writes no file. Extra columns don't matter. Text
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from relaypack.llm.common import blocks_for, materialize, shared_dir, text_bytes
 MAGIC, END = b"RPTS0001", b"RPTSEND1"
 BLOCK = 1 << 16
 BYTES, BITS = 0, 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def planes_of(ids: np.ndarray, mode: int = BYTES) -> list[bytes]:
@@ -128,6 +130,10 @@ class Reader:
         return (self.block(i) for i in range(len(self.chunks)))
 
 
+#: A comma or stop between a Latin letter and a space.
+_MARK = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))([.,])(?= )").sub
+
+
 class WordTokenizer:
     """The tokenizers library over pieces between spaces, each distinct piece encoded once.
 
@@ -140,28 +146,53 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        vocab = self.t.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, many to a call: each makes one token with a word's end, its last, unless its case mapping makes marks."""
+        out: list[bytes] = []
+        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
+        for group, e in zip(groups, self.t.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(group):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                out += self._ids(group)
+        return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | list[str]] = []
-        found: set[str] = set()
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts. A-Z are lower-cased at once, as the tokenizer does, and a comma or stop between a letter and a space is
+        a piece of its own, as it is in the tokenizer's pattern: both make for fewer distinct pieces."""
+        out: list[bytes | list[bytes]] = []
+        found: set[bytes] = set()
         for text in texts:
-            if "<|" in text and any(s in text for s in self.special):
-                out.append(self._ids([text])[0])
+            if b"<|" in text and any(s in text.decode() for s in self.special):
+                out.append(self._ids([text.decode()])[0])
             else:
-                pieces = text.replace("\n", " ").split(" ")
+                pieces = _MARK(rb" \1", text.lower().replace(b"\n", b" ")).split(b" ")
                 found.update(pieces)
                 out.append(pieces)
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
-        missing = list(found.difference(self.cache))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            self.cache.update(zip(part, self._ids(part), strict=True))
+        missing = found.difference(self.cache)
+        plain: list[str] = []
+        other: list[str] = []
+        for x in missing:
+            word = x.decode()
+            (plain if word.isalpha() else other).append(word)
+        for words, encode in ((plain, self._words), (other, self._ids)):
+            for at in range(0, len(words), 8192):
+                part = words[at : at + 8192]
+                self.cache.update(zip(map(str.encode, part), encode(part), strict=True))
         get = self.cache.__getitem__
         return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in out]
 
@@ -183,10 +214,10 @@ def write(spark: SparkSession, docs: DataFrame, path: str, *, end_id: int = 1, m
     fs.create_dir(base, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, w, ids, counts = None, None, [], []
+        tok, w, ids, counts, end = None, None, [], [], struct.pack("<I", end_id)
         for batch in batches:
             at = 0
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
             while at < len(texts):
                 if w is None:
                     tok = tokenizer(path)
@@ -196,10 +227,10 @@ def write(spark: SparkSession, docs: DataFrame, path: str, *, end_id: int = 1, m
                     w = Writer(sink, mode=mode)
                 k, size = at, 0
                 while k < len(texts) and size < 1 << 21:
-                    size += len(texts[k] or "")
+                    size += len(texts[k] or b"")
                     k += 1
-                for x in tok.encode([t or "" for t in texts[at:k]]):
-                    row = np.append(np.frombuffer(x, "<u4"), np.uint32(end_id))
+                for x in tok.encode([t or b"" for t in texts[at:k]]):
+                    row = np.frombuffer(x + end, "<u4")
                     w.append(row)
                     counts.append(len(row))
                 ids += batch.column(0).slice(at, k - at).to_pylist()
