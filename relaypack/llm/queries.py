@@ -71,4 +71,29 @@ QUERIES: dict[str, Query] = {
     "op6_byte_bpe": op6_byte_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w)),
+m as (select g, min(doc_id) as least from g group by g),
+gone as (select distinct doc_id, i + k as p from g join m using (g), range(13) r(k) where least < doc_id),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)""",
+    "op7_exact_top_k": """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as w from embeddings
+ where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.w, c.w)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20""",
+    "op10_near_duplicates": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) = 1 then [ws[1]] else list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select distinct on (t) doc_id, t from (select doc_id, list(g order by g)::varchar as t from s group by doc_id) order by t, doc_id),
+named as (select d.doc_id, c.doc_id as cls from (select doc_id, list(g order by g)::varchar as t from s group by doc_id) d join c using (t)),
+r as (select s.doc_id, s.g, n.n from s join n using (doc_id) where doc_id in (select doc_id from c)),
+l as (select a.doc_id as a, b.doc_id as b from r a join r b on a.g = b.g and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e as (select a, b from l union all select b, a from l),
+reach(x, y) as (select doc_id, doc_id from c union select reach.x, e.b from reach join e on e.a = reach.y),
+comp as (select x as cls, min(y) as y from reach group by x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(least(comp.y, d.doc_id), d.doc_id) as component_id, coalesce(comp.y, d.doc_id) = d.doc_id as kept
+from documents d left join n using (doc_id) left join named using (doc_id) left join comp using (cls)""",
+}
