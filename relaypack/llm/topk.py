@@ -68,9 +68,10 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     postings = []
     for d in range(dims):
         at = np.flatnonzero(c[:, d])
-        postings.append((None if len(at) == n else at, c[at, d].astype(kind)))
+        # a term that a quarter of the block holds is added as a whole row, zeros included
+        postings.append((None, c[:, d].astype(kind)) if 4 * len(at) >= n else (at, c[at, d].astype(kind)))
     outs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 19) // max(1, n))  # the score arrays stay in the cache
+    step = max(1, (1 << 16) // max(1, n))  # the score arrays stay in the cache
     scores, term = np.empty((step, n), kind), np.empty((step, n), kind)
     for at in range(0, len(q_ids), step):
         qs, qi = q[at : at + step].astype(kind), q_ids[at : at + step]
@@ -80,7 +81,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
             if not len(weight):
                 continue
             rows = np.flatnonzero(qs[:, d])
-            if pos is None and len(rows) == len(qi):
+            if pos is None and 2 * len(rows) >= len(qi):
                 np.multiply(qs[:, d, None], weight[None, :], out=t)
                 s += t
             elif pos is None:
