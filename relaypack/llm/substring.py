@@ -15,8 +15,8 @@ A window is sent once per block, however often it occurs, so a passage in a thir
 nothing is broadcast or collected. A sketch and a group of windows hold what one block-sized range holds.
 
 Nulls: a null text has no words. A null id counts as larger than all others. Rows of equal id don't remove each
-other's words. Texts of fewer words than a window stay whole. Extra columns are passed on by ``remove``. Windows are
-judged on the input. An empty table gives an empty result.
+other's words. Texts of fewer words than a window stay whole. Windows are
+judged on the input. An empty table gives an empty result. With ``text_out`` extra columns stay; a column n_removed is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from relaypack.llm.common import text_bytes
 
 WINDOW = 13
+BLOCK = "__relaypack_block"
 BLOCK_BYTES = 8 << 20
 PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -166,7 +167,7 @@ def _split(cells: np.ndarray, bits: int, shards: int) -> np.ndarray:
 
 def _sketch(width: int, bits: int, shards: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
+        block = table.column(BLOCK)[0].as_py()
         b = Block(table, 1)
         _, doc, (w,) = b.windows(width)
         order = np.argsort(w, kind="stable")
@@ -225,7 +226,7 @@ def _exact(width: int, bits: int, shards: int) -> Callable[[pa.Table, pa.Table],
     def run(docs: pa.Table, seen: pa.Table) -> pa.Table:
         shard, payload, block = [], [], None
         if docs.num_rows and seen.num_rows:
-            block = docs.column("block")[0].as_py()
+            block = docs.column(BLOCK)[0].as_py()
             rows: list[list[tuple[int, bytes]]] = [[] for _ in _ROWS]
             for s, data in zip(seen.column("shard").to_pylist(), seen.column("payload").to_pylist(), strict=True):
                 rows[s // shards].append((s, data))
@@ -320,14 +321,14 @@ def _kept(b: Block, gone: np.ndarray) -> tuple[np.ndarray, bytes, np.ndarray]:
     return removed, out.tobytes(), size[b.first_word]
 
 
-def _finish(width: int, schema: pa.Schema | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _finish(width: int, text_out: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             docs = docs.slice(0, 0)
         b = Block(docs, 2)
         removed, kept, at = _kept(b, _covered(b, found, width))
         n = len(b.order)
-        if schema is None:
+        if not text_out:
             sha = [hashlib.sha256(kept[at[i] : max(at[i], at[i + 1] - 1)]).hexdigest() for i in range(n)]
             return pa.table({"doc_id": docs.column("doc_id").take(pa.array(b.order)) if n else docs.column("doc_id"), "n_words": pa.array(b.n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
         old = docs.column("text").to_pylist()
@@ -336,7 +337,7 @@ def _finish(width: int, schema: pa.Schema | None) -> Callable[[pa.Table, pa.Tabl
         for i, k in enumerate(b.order.tolist()):
             back[k] = removed[i]
             new[k] = old[k] if not removed[i] else kept[at[i] : max(at[i], at[i + 1] - 1)].decode()
-        out = docs.set_column(docs.column_names.index("text"), "text", pa.array(new, pa.string())).drop_columns(["block"])
+        out = docs.set_column(docs.column_names.index("text"), "text", pa.array(new, pa.string())).drop_columns([BLOCK])
         return out.append_column("n_removed", pa.array(back, pa.int64()))
 
     return run
@@ -352,14 +353,14 @@ def dedup(spark: SparkSession, docs: DataFrame, *, width: int = WINDOW, block_by
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-total // block_bytes), min(parts, total >> 20))
     bits = max(12, min(56, (8 * total // 6).bit_length()))  # a word has six bytes or so: eight cells a window
-    held = docs if text_out else docs.select("doc_id", "text")
-    by_block = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
-    left = by_block.groupBy("block")
+    held = docs.drop("n_removed") if text_out else docs.select("doc_id", "text")
+    by_block = held.withColumn(BLOCK, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
+    left = by_block.groupBy(BLOCK)
     sketch = left.applyInArrow(_sketch(width, bits, blocks), "shard long, block long, payload binary")
     seen = sketch.groupBy("shard").applyInArrow(_merge, "block long, shard long, payload binary")
     exact = left.cogroup(seen.groupBy("block")).applyInArrow(_exact(width, bits, blocks), "shard long, block long, payload binary")
     found = exact.groupBy("shard").applyInArrow(_least, "block long, payload binary")
     if not text_out:
-        return left.cogroup(found.groupBy("block")).applyInArrow(_finish(width, None), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
-    return left.cogroup(found.groupBy("block")).applyInArrow(_finish(width, pa.schema([])), schema)
+        return left.cogroup(found.groupBy("block")).applyInArrow(_finish(width, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    schema = T.StructType([*held.schema.fields, T.StructField("n_removed", T.LongType())])
+    return left.cogroup(found.groupBy("block")).applyInArrow(_finish(width, True), schema)
