@@ -44,8 +44,8 @@ _LETTER[0x80:] = range(0x80, 0x100)
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all trigrams (2**BITS: none) of texts joined by two spaces, and where each text's begin."""
-    raw = [t.lower().encode() + b"  " for t in texts]
+    """Buckets of all trigrams (2**BITS: none) of texts with a space at each end, and where each text's begin. None reaches into the next text."""
+    raw = [b" " + t.lower().encode() + b" " for t in texts]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     b = _LETTER[np.frombuffer(b"".join(raw) + b"  ", np.uint8)]
     code = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
