@@ -18,16 +18,19 @@ from relaypack.llm.common import materialize, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _of(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose id is among ``ids`` (id, ...); null is an id as any other here. Rows that share an id go together."""
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), how)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents rejected as no known language (or as empty) go; the others stay as they are."""
-    kept = langid.documents(spark, docs).where("accepted").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return _of(docs, langid.documents(spark, docs).where("accepted").select(F.col("doc_id").alias("id")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
-    kept = neardup.near_duplicates(spark, docs, shingle=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return _of(docs, neardup.near_duplicates(spark, docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("id")))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +43,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once for each copy the mix takes; documents with none go."""
     mixed = mixing.mix(spark, docs)
-    copies = mixed.where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken").cast("double") / F.col("size")).cast("int").alias("copies"))
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    copies = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("taken").cast("double") / F.col("size")).cast("int").alias("copies"))
+    return _of(docs, copies, "inner").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
