@@ -149,7 +149,7 @@ def result_runs(spark: SparkSession, path: str, n_rows: int = 3) -> DataFrame:
 
 def repository_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, line of the text files below a folder."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("i", "line")).select("path", (F.col("i") + 1).alias("line_no"), "line")
 
 
