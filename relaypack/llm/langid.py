@@ -51,7 +51,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
     bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
     blank = b == 0x20
-    bucket[(blank[:-2].astype(np.int8) + blank[1:-1] + blank[2:] > 1) | blank[1:-1]] = 1 << BITS
+    bucket[blank[1:-1]] = 1 << BITS  # a letter stands in the middle, so a text of one letter has one
     return bucket, np.cumsum(size) - size
 
 
