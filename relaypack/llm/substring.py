@@ -22,6 +22,7 @@ judged on the input. An empty table gives an empty result. With ``text_out`` ext
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -35,7 +36,8 @@ from relaypack.llm.common import text_bytes
 
 WINDOW = 13
 BLOCK = "__relaypack_block"
-BLOCK_BYTES = 8 << 20
+#: Least bytes of a block, and bytes of what a block sends to a range at least: blocks and ranges meet pairwise.
+BLOCK_BYTES, SENT_BYTES = 8 << 20, 1400
 PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -343,14 +345,15 @@ def _finish(width: int, text_out: bool) -> Callable[[pa.Table, pa.Table], pa.Tab
     return run
 
 
-def dedup(spark: SparkSession, docs: DataFrame, *, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_out: bool = False) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, *, width: int = WINDOW, block_bytes: int | None = None, text_out: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with ``text_out`` all columns of ``docs``, the kept text in place of the text, and n_removed.
 
     Texts that lose no word stay as they are. ``block_bytes`` bounds what a task holds, but for one longer text. Blocks and ranges
-    meet pairwise, so larger corpora want larger blocks: 64 MB for 10 TB.
+    meet pairwise, so blocks grow with the root of the corpus: 8 MB up to 45 GB, 120 MB for 10 TB.
     """
     total = docs.agg(F.sum(text_bytes())).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    block_bytes = block_bytes or max(BLOCK_BYTES, math.isqrt(SENT_BYTES * total))
     blocks = max(1, -(-total // block_bytes), min(parts, total >> 20))
     bits = max(12, min(56, (8 * total // 6).bit_length()))  # a word has six bytes or so: eight cells a window
     held = docs.drop("n_removed") if text_out else docs.select("doc_id", "text")
