@@ -37,6 +37,8 @@ MAGIC, END = b"RPTS0001", b"RPTSEND1"
 BLOCK = 1 << 16
 BYTES, BITS = 0, 1
 CACHE_WORDS = 600_000
+#: Bounds what of the files goes to the driver and is broadcast: a row each, about 4 MB in all.
+MAX_FILES = 20_000
 
 
 def planes_of(ids: np.ndarray, mode: int = BYTES) -> list[bytes]:
@@ -207,8 +209,12 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, *, end_id: int = 1, mode: int = BYTES, file_bytes: int = 12 << 20) -> DataFrame:
-    """Write the files; their manifest: file, doc_ids and counts of the documents in it, in order."""
+    """Write the files; their manifest: file, doc_ids and counts of the documents in it, in order.
+
+    Files hold ``file_bytes`` of text or more, so that there are MAX_FILES at most.
+    """
     total = docs.agg(F.sum(text_bytes())).first()[0] or 0
+    file_bytes = max(file_bytes, total // MAX_FILES)
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
@@ -248,7 +254,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, *, end_id: int = 1, m
 
 def read_back(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    # one row a file: the number of files is the corpus over file_bytes
+    # one row a file, MAX_FILES or so at most
     sizes = manifest.select("file", "first_id", F.element_at("doc_ids", -1).alias("last_id"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).collect()
     start, base = 0, {}
     for r in sorted(sizes, key=lambda r: (r.first_id is not None, r.first_id or 0, r.last_id is not None, r.last_id or 0)):
