@@ -78,7 +78,7 @@ _PLACE = 1 << 40
 
 
 def verdict(f: Frames, contract: Contract) -> DataFrame:
-    """Per handoff: code (null if it compiles), missing, used (bytes of base and required items), total, kept (places of preferred
+    """Per handoff: code (null if it compiles; rows of two sections don't), missing, used (bytes of base and required items), total, kept (places of preferred
     items), omitted (by preferred section), omitted_count.
 
     One grouping of narrow rows decides all: presence, the required sum and the greedy fold.
@@ -90,11 +90,12 @@ def verdict(f: Frames, contract: Contract) -> DataFrame:
     )
     base = f.live().select("handoff_id", tk.packet_base(F.col("sender"), F.col("receiver"), F.lit(contract.goal.strip())).cast("bigint").alias("base"))
     none = F.array().cast("array<string>")
-    v = base.join(by, "handoff_id", "left").withColumns({"has": F.coalesce("has", none), "xs": F.coalesce("xs", F.array().cast(f"array<{_OPTION}>"))})
+    double = f.messages.where(F.size(explicit_sections()) > 1).select("handoff_id", F.lit(True).alias("double")).distinct()
+    v = base.join(by, "handoff_id", "left").join(double, "handoff_id", "left").withColumns({"has": F.coalesce("has", none), "xs": F.coalesce("xs", F.array().cast(f"array<{_OPTION}>"))})
     need = F.array(*map(F.lit, contract.required)).cast("array<string>")
     n_sections = F.size(F.array_intersect("has", need))
     v = v.withColumns({"missing": F.array_except(need, F.col("has")), "used": (F.col("base") + F.coalesce("need", F.lit(0)) + F.coalesce("n_need", F.lit(0)) - n_sections).cast("bigint")})
-    v = v.withColumn("code", F.when(F.size("missing") > 0, "contract").when(F.col("used") > contract.max_bytes, "budget_exceeded"))
+    v = v.withColumn("code", F.when(F.coalesce("double", F.lit(False)) | (F.size("missing") > 0), "contract").when(F.col("used") > contract.max_bytes, "budget_exceeded"))
 
     def step(a: Column, x: Column) -> Column:
         total = a["used"] + x["bytes"] + F.when(a["sec"] == x["ord"], 1).otherwise(0)
@@ -148,8 +149,9 @@ def _keep(f: Frames, contract: Contract, v: DataFrame) -> Frames:
         return must.unionByName(rows.where(F.col("_ord") >= len(contract.required)).join(some, ["handoff_id", "_pos"], "left_semi")).drop("_ord", "_pos")
 
     f = f.with_(messages=of(f.messages, F.col("section"), "msg_idx"), artifacts=of(f.artifacts, F.lit("artifacts"), "art_idx"))
-    for code in ("contract", "budget_exceeded"):
-        f = f.deny("receiver_contract", code, v.where(F.col("code") == code))
+    # two codes at most
+    for code in sorted(r[0] for r in v.where("code is not null").select("code").distinct().collect()):
+        f = f.deny("receiver_contract", code, v.where(F.col("code") == code), written=True)
     return f
 
 
@@ -161,7 +163,6 @@ def compile_handoff(f: Frames, contract: Contract, cleanup: Sequence[Policy] = (
     if contract.needs:
         raise ValueError("needs are for selection plans")
     source = envelope_sizes(f).select("handoff_id", F.col("tokens").alias("source_tokens"))
-    f = f.deny("receiver_contract", "contract", f.messages.where(F.size(explicit_sections()) > 1))
     f = f.with_(messages=classify(f.messages))
     before = after = cut(verdict(f, contract), "verdict")
     f = _keep(f, contract, before)

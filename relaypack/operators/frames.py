@@ -41,13 +41,14 @@ class Frames:
         rows = counts.select("handoff_id", F.lit(self.step).alias("step"), F.lit(policy).alias("policy"), F.lit(action).alias("action"), F.col("count").cast("long").alias("count"), details.alias("details"))
         return self.with_(events=self.events.unionByName(rows))
 
-    def deny(self, policy: str, code: str, ids: DataFrame) -> Frames:
+    def deny(self, policy: str, code: str, ids: DataFrame, *, written: bool = False) -> Frames:
         """Deny the handoffs in ``ids`` (handoff_id): their rows leave.
 
         The ids are written first, so that a chain of policies stays a chain and doesn't compute what is before it twice at
-        each link; mostly there are none, and then nothing is joined at all.
+        each link; mostly there are none, and then nothing is joined at all. ``written``: the ids come from a written table.
         """
-        rows = cut(ids.select("handoff_id").distinct(), "denied")
+        rows = ids.select("handoff_id").distinct()
+        rows = rows if written else cut(rows, "denied")
         if rows.isEmpty():
             return self
         gone = rows.select("handoff_id", F.lit(self.step).alias("step"), F.lit(code).alias("code"), F.lit(policy).alias("policy"))

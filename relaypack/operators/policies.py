@@ -189,7 +189,7 @@ def summarize(max_tokens: int, summarizer: Callable[[str, int], str] = extract_s
         )
         return f.with_(messages=f.messages.where("protected").unionByName(row)).deny(name, "summarization", bad)
 
-    return _named(run, "summarize", 40)
+    return _named(run, name, 40)
 
 
 # ---- budget

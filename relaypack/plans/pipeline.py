@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 from relaypack.operators.frames import Frames, Policy, envelope_sizes
 from relaypack.operators.routes import apply_routes
+from relaypack.operators.shared import cut
 from relaypack.sources.config import Config, ConfigurationError, check_order
 
 
+#: Policies whose work is written down: patterns and summaries would else run again for each count of the policies after them.
+COSTLY = ("redact", "egress_redact", "summarize")
+
+
 def run_policies(f: Frames, chain: Sequence[Policy]) -> Frames:
     check_order(tuple(chain))
     for policy in chain:
         f = policy(f.next())
+        if getattr(policy, "name", "") in COSTLY:
+            f = f.with_(messages=cut(f.messages, "messages"), artifacts=cut(f.artifacts, "artifacts"), events=cut(f.events, "events"))
     return f
 
 
