@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relaypack.llm import bpe, html_density, langid, licenses, matroska, mixing, neardup, substring, token_store, topk
+from relaypack.llm import bpe, html_density, langid, licenses, licenses_sql, matroska, mixing, neardup, substring, token_store, topk
 from relaypack.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,8 @@ comp as (select x as cls, min(y) as y from reach group by x)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(least(comp.y, d.doc_id), d.doc_id) as component_id, coalesce(comp.y, d.doc_id) = d.doc_id as kept
 from documents d left join n using (doc_id) left join named using (doc_id) left join comp using (cls)""",
 }
+
+
+def sql() -> dict[str, str]:
+    """All SQL; the licence scan's holds its fitted model."""
+    return SQL | {"op9_license_scan": licenses_sql.sql()}
