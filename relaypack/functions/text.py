@@ -16,7 +16,7 @@ def strip(col: Column) -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return F.length(strip(col)) == 0
+    return ~col.rlike(f"[^{BLANKS}]")
 
 
 def lines(col: Column) -> Column:

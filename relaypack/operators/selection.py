@@ -129,16 +129,16 @@ def excerpts(wanted: DataFrame, sources: DataFrame) -> DataFrame:
     Bounds count from 1 and are inclusive; both null mean the whole source. Excerpts of a source may not overlap.
     """
     w = Window.partitionBy("handoff_id", "source_id").orderBy("_f", "_l")
-    x = wanted.join(sources.select("handoff_id", "source_id", "content", "n_lines"), ["handoff_id", "source_id"], "left")
+    x = wanted.join(sources.select("handoff_id", "source_id", lines(F.col("content")).alias("_lines"), "n_lines"), ["handoff_id", "source_id"], "left")  # split once, not for each range
     x = x.withColumns({"_f": F.coalesce("first", F.lit(1)), "_l": F.coalesce("last", "n_lines")})
     x = x.withColumn("_hit", F.coalesce(F.max("_l").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("_f"), F.lit(False)))
     inside = (F.col("_f") >= 1) & (F.col("_l") >= F.col("_f")) & (F.col("_l") <= F.col("n_lines"))
-    cut = F.when(inside, F.array_join(F.slice(lines(F.col("content")), F.col("_f").cast("int"), (F.col("_l") - F.col("_f") + 1).cast("int")), ""))
+    cut = F.when(inside, F.array_join(F.slice("_lines", F.col("_f").cast("int"), (F.col("_l") - F.col("_f") + 1).cast("int")), ""))
     code = (
-        F.when(F.col("content").isNull(), "unknown_source")
+        F.when(F.col("_lines").isNull(), "unknown_source")
         .when(F.col("first").isNull() != F.col("last").isNull(), "one_bound")
         .when(~inside, "out_of_range")
         .when(is_blank(cut), "blank")
         .when(F.col("_hit"), "overlap")
     )
-    return x.withColumns({"excerpt": cut, "code": code}).drop("_f", "_l", "_hit", "content", "n_lines")
+    return x.withColumns({"excerpt": cut, "code": code}).drop("_f", "_l", "_hit", "_lines", "n_lines")

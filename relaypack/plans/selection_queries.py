@@ -138,6 +138,35 @@ def excerpt_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.substring("source_id", 2, 9).cast("long").alias("doc_id"), F.coalesce("first", F.lit(1)).cast("int").alias("first"), F.coalesce("last", "n_lines").cast("int").alias("last"), "code")
 
 
+_ENDS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+@query(rf"""with d as (select doc_id, text, regexp_split_to_array(text, '{_ENDS}') as ps from documents where doc_id is not null and not regexp_full_match(text, '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]*')),
+s as (select doc_id, case when ps[-1] = '' then ps[:-2] else ps end as ls from d),
+n as (select doc_id, ls, len(ls) as n, 1 + ((doc_id % len(ls)) + len(ls)) % len(ls) as k from s),
+w as (select doc_id, ls, n, unnest([{{'f': null, 'l': null}}, {{'f': 1, 'l': k}}, {{'f': k, 'l': k}}, {{'f': k, 'l': n}}, {{'f': n + 1, 'l': n + 1}}, {{'f': n + 2, 'l': null}}], recursive := true) from n),
+b as (select *, coalesce(f, 1) as a, coalesce(l, n) as b from w),
+o as (select *, coalesce(max(b) over (partition by doc_id order by a, b rows between unbounded preceding and 1 preceding) >= a, false) as hit from b)
+select doc_id, a::int as first, b::int as last, case when (f is null) <> (l is null) then 'one_bound' when not (a >= 1 and b >= a and b <= n) then 'out_of_range' when regexp_full_match(array_to_string(ls[a:b], ''), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]*') then 'blank' when hit then 'overlap' end as code from o""")
+def excerpt_bounds_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six line ranges of every document, from its id and line count, with the rule that each breaks."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    return document_excerpts(spark, d)
+
+
+def document_excerpts(spark: SparkSession, d: DataFrame) -> DataFrame:
+    m = text_messages(d, F.col("doc_id"), F.lit(0), F.lit("user"), F.col("text"))
+    src = se.whole_sources(m, spark.createDataFrame([], "handoff_id bigint, art_idx int, content_type string, content string"))
+    n = F.col("n_lines").cast("long")
+    k = 1 + F.pmod(F.col("handoff_id"), n)
+    none = F.lit(None).cast("long")
+    pairs = ((none, none), (F.lit(1), k), (k, k), (k, n), (n + 1, n + 1), (n + 2, none))
+    ranges = F.array(*(F.struct(a.cast("long").alias("first"), b.cast("long").alias("last")) for a, b in pairs))
+    w = src.select("handoff_id", "source_id", n.alias("of"), F.explode(ranges).alias("r")).select("handoff_id", "source_id", "of", "r.first", "r.last")
+    out = se.excerpts(w, src)
+    return out.select(F.col("handoff_id").alias("doc_id"), F.coalesce("first", F.lit(1)).cast("int").alias("first"), F.coalesce("last", "of").cast("int").alias("last"), "code")
+
+
 # ---- evaluation
 
 _SAMPLED = "select 'i' || c_custkey::varchar as instance_id, c_mktsegment as repo, (c_nationkey % 4)::varchar as difficulty from customer"
