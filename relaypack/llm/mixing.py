@@ -2,8 +2,10 @@
 
 Every document has an expected number of copies; its whole part is certain. The fraction is drawn by Pareto order
 sampling: a document's rank is (u / (1 - u)) / (p / (1 - p)), with u a hash of its id and p the fraction, and each
-source takes the documents of lowest rank while they fit what is left of its target; the last
-``FILLS`` places go to copies, of documents below their most copies, whose sizes fit the gap best.
+source takes the documents of lowest rank while they fit what is left of its target. One that does not fit is skipped
+and the draw goes on down the order. If the target is still missed by more than ``FINE`` of it, documents below their
+most copies get one more, in the same order, while they fit; at last one more copy may go over the target if that
+leaves the sum nearer to it.
 
 Expected copies rise with a document's length class (``length_tilt`` for each doubling), so that inclusion is unequal
 within a source too, and never exceed ``most`` copies.
@@ -14,7 +16,9 @@ all are taken in either order. An empty table gives an empty result. Extra colum
 
 Sources are summed by (source, length class): that table (64 rows a source at most) goes to the driver. Nothing else
 does. Documents of one source are never sorted together: their words are summed by bins of the rank, finer bins are
-taken in the bin where the target falls, and only the last bin's documents are ordered.
+taken in the bin where the target falls, and only the last bin's documents are ordered. This is repeated with the
+documents that fit the gap, until none does. A round is a few jobs over narrow rows and takes a document or more of each
+source with a gap; targets of a thousand times the longest document need no more than one.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 from relaypack.llm.common import WORD, materialize
 
 BINS = 1024
-#: The last places of a source, filled by size while the gap is over FINE of its target.
-FILLS, FINE = 4, 0.001
+#: A gap of no more than this part of its target is left.
+FINE = 0.001
 
 
 def word_count(text: str) -> Column:
@@ -69,7 +73,7 @@ def copies(classes: dict[int, int], target: float, most: float, tilt: float) ->
 def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, length_tilt: float = 0.02, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of ``docs`` (doc_id, text, source)."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("tie"), u.alias("u"))
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("tie"), u.alias("u"), F.monotonically_increasing_id().alias("row"))
     sized = materialize(spark, sized.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(-1).cast("int")), "sizes")
     sums = sized.groupBy("source", "class").agg(F.sum("size").alias("n")).collect()
     by: dict[str | None, dict[int, int]] = {}
@@ -89,48 +93,55 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, ...] = (5
     # x = rank / (1 + rank) lies in (0, 1) and is as the rank in order
     odds, inclusion = F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p"))
     x = F.when(F.col("p") > 0, odds / (odds + inclusion))
-    known = known.withColumn("x", x)
-    bin_ = F.least(F.floor(F.col("x") * BINS), F.lit(BINS - 1))
-    fine = F.least(F.floor((F.col("x") * BINS - bin_) * BINS), F.lit(BINS - 1))
-    drawn = known.where("x is not null and size > 0")
+    few = len(by) <= 50_000
+    state = known.select("doc_id", "source", "size", "source_size", "target", "tie", "row", "whole", x.alias("x"), F.col("whole").alias("held"), F.col("rest").alias("gap"))
+    state = materialize(spark, state, "drawn")
+    # y orders the first copies of the draw before all further ones
+    undrawn = F.col("x").isNotNull() & (F.col("held") == F.col("whole"))
+    y = F.when(undrawn, F.col("x") / 2).otherwise(0.5 + F.coalesce("x", F.lit(1.0)) / 2)
+    bin_ = F.least(F.floor(F.col("y") * BINS), F.lit(BINS - 1))
+    fine = F.least(F.floor((F.col("y") * BINS - bin_) * BINS), F.lit(BINS - 1))
+    room = F.col("gap") + 0.5  # targets are no whole numbers
+    open_ = (F.col("gap") > FINE * F.col("target")) & (F.col("size") > 0) & (undrawn | (F.col("held") + 1 <= most))
+    able = open_ & (F.col("size") < room)
 
     def edge(frame: DataFrame, bin_col: Column, below: Column) -> DataFrame:
         """Per source: the bin where the words reach the target, and the words below it."""
         w = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        summed = frame.groupBy("source", bin_col.alias("bin")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"), F.first(below).alias("below"))
+        summed = frame.groupBy("source", bin_col.alias("bin")).agg(F.sum("size").alias("n"), F.first("room").alias("room"), F.first(below).alias("below"))
         upto = F.col("below") + F.sum("n").over(w)
-        found = summed.withColumn("upto", upto).where("upto >= rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("n")).alias("below"))).alias("e"))
+        found = summed.withColumn("upto", upto).where("upto >= room").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("n")).alias("below"))).alias("e"))
         return found.select(F.col("source").alias("s"), F.col("e.bin").alias("edge"), F.col("e.below").alias("words"))
 
     def marked(frame: DataFrame, at: DataFrame, names: tuple[str, str]) -> DataFrame:
         at = at.withColumnsRenamed({"edge": names[0], "words": names[1]})
-        at = F.broadcast(at) if len(by) <= 50_000 else at
+        at = F.broadcast(at) if few else at
         return frame.join(at, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
-    first = marked(known, materialize(spark, edge(drawn, bin_, F.lit(0)), "bins"), ("edge1", "words1"))
-    inside = first.where("x is not null and size > 0").where(bin_ == F.col("edge1"))
-    second = marked(first, materialize(spark, edge(inside, fine, F.col("words1")), "bins"), ("edge2", "words2"))
-    last = second.where("x is not null and size > 0").where((bin_ == F.col("edge1")) & (fine == F.col("edge2")))
-    w = Window.partitionBy("source").orderBy("x", "doc_id", "tie")
-    before = F.col("words2") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    key = F.struct("x", "doc_id", "tie")
-    reach = last.withColumn("before", before).where("before + size >= rest").groupBy("source").agg(F.min(F.struct("x", "doc_id", "tie", (F.col("rest") - F.col("before")).alias("gap"))).alias("r"))
-    ends = materialize(spark, reach.select(F.col("source").alias("s"), F.struct("r.x", "r.doc_id", "r.tie").alias("end"), F.col("r.gap").alias("gap")), "ends")
-    third = second.join(F.broadcast(ends) if len(by) <= 50_000 else ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    before_end = (
-        F.when(F.col("x").isNull() | (F.col("rest") <= 0), False)
-        .when(F.col("edge1").isNull() | F.col("end").isNull(), True)
-        .when(bin_ != F.col("edge1"), bin_ < F.col("edge1"))
-        .otherwise(key < F.col("end"))
-    )
-    done = third.withColumn("held", F.col("whole") + before_end.cast("int"))
-    for _ in range(FILLS):
-        # a copy, of a document below its most copies, that leaves the sum nearest to the target
-        off = F.abs(F.col("size") - F.col("gap"))
-        best = done.where((F.col("gap") > FINE * F.col("target")) & (F.col("size") > 0) & (F.col("held") + 1 <= most) & (off < F.col("gap")))
-        found = best.groupBy("source").agg(F.min(F.struct(off.alias("off"), "x", "doc_id", "tie", "size")).alias("p"))
-        picks = materialize(spark, found.select(F.col("source").alias("s"), F.struct("p.x", "p.doc_id", "p.tie").alias("pick"), F.col("p.size").alias("fill")), "picks")
-        done = done.join(F.broadcast(picks) if len(by) <= 50_000 else picks, F.col("source").eqNullSafe(F.col("s")), "left")
-        picked = F.col("pick").isNotNull() & key.eqNullSafe(F.col("pick"))
-        done = done.withColumn("held", F.col("held") + picked.cast("int")).withColumn("gap", F.col("gap") - F.coalesce(F.col("fill"), F.lit(0))).drop("s", "pick", "fill")
+    w = Window.partitionBy("source").orderBy("y", "doc_id", "tie", "row")
+    key = F.struct("y", "doc_id", "tie", "row")
+    while True:
+        fits = state.where(able).withColumns({"y": y, "room": room})
+        if fits.isEmpty():
+            break
+        first = marked(fits, materialize(spark, edge(fits, bin_, F.lit(0)), "bins"), ("edge1", "words1"))
+        inside = first.where(bin_ == F.col("edge1"))
+        second = marked(first, materialize(spark, edge(inside, fine, F.col("words1")), "bins"), ("edge2", "words2"))
+        last = second.where((bin_ == F.col("edge1")) & (fine == F.col("edge2")))
+        upto = F.col("words2") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        reach = last.withColumn("upto", upto).where("upto >= room").groupBy("source").agg(F.min(key).alias("end"))
+        ends = materialize(spark, reach.withColumnRenamed("source", "s"), "ends")
+        # no end: all that fit are taken
+        ended = state.withColumn("y", y).join(F.broadcast(ends) if few else ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        took = able & (F.col("end").isNull() | (key < F.col("end")))
+        ended = materialize(spark, ended.withColumn("took", F.coalesce(took, F.lit(False))).drop("y", "end"), "took")
+        used = materialize(spark, ended.where("took").groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("used")), "used")
+        state = ended.join(F.broadcast(used) if few else used, F.col("source").eqNullSafe(F.col("s")), "left")
+        state = state.withColumns({"held": F.col("held") + F.col("took").cast("int"), "gap": F.col("gap") - F.coalesce("used", F.lit(0))}).drop("s", "used", "took")
+    # nothing fits now: a copy that leaves the sum nearer to the target
+    off = F.abs(F.col("size") - F.col("gap"))
+    found = state.where(open_ & (off < F.col("gap"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "x", "doc_id", "tie", "row")).alias("p"))
+    picks = materialize(spark, found.select(F.col("source").alias("s"), F.col("p.row").alias("pick")), "picks")
+    done = state.join(F.broadcast(picks) if few else picks, F.col("source").eqNullSafe(F.col("s")), "left")
+    done = done.withColumn("held", F.col("held") + F.coalesce(F.col("row") == F.col("pick"), F.lit(False)).cast("int"))
     return done.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("held")).cast("long").alias("taken"), "source", "tie")

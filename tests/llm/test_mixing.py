@@ -72,3 +72,22 @@ def test_inclusion_rises_with_size(spark):
         r = mixing.mix(spark, df, seed=seed).groupBy("source").sum("taken", "size").collect()
         total += sum(x["sum(taken)"] for x in r)
     assert abs(total / 5 / (1.5 * sum(n for _, _, n in sized(rows))) - 1) < 0.03
+
+
+def test_draw_goes_on_past_what_does_not_fit(spark):
+    """One long text among short ones: every short one is taken, whatever its place in the order."""
+    rows = [(0, words(20_000, 1), "en", "s", 1)] + [(i, words(200, i), "en", "s", 1) for i in range(1, 51)]
+    df = frame(spark, rows).cache()
+    for seed in range(3):
+        got = {r.doc_id: r.taken for r in mixing.mix(spark, df, seed=seed).collect()}
+        assert got == {0: 20_000} | dict.fromkeys(range(1, 51), 400)
+
+
+def test_nothing_that_fits_is_left(spark):
+    """Very unequal lengths, repeated rows: a gap remains only where no copy fits it."""
+    rows = [(i, words(1 + (i * i * 37) % (3000 if i % 7 == 0 else 90), i), "en", f"src{i % 4}", 1) for i in range(160)]
+    rows += 3 * [(500, words(40, 500), "en", "src1", 1)]
+    got, taken, want = check(spark, rows)
+    for s in want:
+        gap = want[s] - taken[s]
+        assert gap <= mixing.FINE * want[s] or all(r.taken + r.size > 2 * r.size or r.size >= gap + 0.5 for r in got if r.source == s and r.size), (s, gap)
