@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier, in DataFrame operations only.
 
-A paragraph is a line of a text. Its features are the distinct word n-grams (one to three words) that hold an anchor, a word with a
+A paragraph is a line of a text, or adjacent lines that hold a wrapped notice together (``spans``). Its features are the distinct word n-grams (one to three words) that hold an anchor, a word with a
 licence stem in it; multinomial logistic regression over these sparse features gives each licence family and an
 unknown class a probability, calibrated by a temperature fitted on held-out paragraphs. A prediction counts if its
 probability reaches ``LEAST`` and the paragraph covers ``COVER`` of the n-grams of one of the family's templates.
@@ -52,6 +52,8 @@ NEGATIVES = (
     "The committee will permit no license to operate.", "The table was reserved for two.", "GNU tools were used to build it.", "Mozilla announced a new browser.", "The accident occurred on a public road.", "Redistribution of wealth is a public issue.", "A creative writing course in the house of commons.",
     "The pilot lost the license for a year.", "Confidential sources told the public.", "All seats are reserved for members.", "The restaurant has a liquor license.", "We accept success according to public account.", "A BSD system was running in the lab.", "The licensing board met in public.",
 )
+#: Words after its first line up to which a wrapped notice is read: twice those of the longest template.
+REACH = 2 * max(len(re.findall(TOKEN, t.lower())) for ts in TEMPLATES.values() for t in ts)
 _FILL = "the a of and to in it was for on with as at by from this that new data project file text page work example team year version".split()
 
 
@@ -161,34 +163,82 @@ def _ngrams(t: Column, places: Column) -> Column:
 def paragraphs(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, place, family, probability, cover, confirmed for each line with a feature."""
     m = model or fit()
-    k = len(m.families)
-    weights = F.broadcast(spark.createDataFrame([(g, *w) for g, w in m.weights.items()], "gram string, " + ", ".join(f"w{i} double" for i in range(k))))
     text = F.lower("text")
     lines = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & _stem(text)).select("doc_id", F.posexplode(F.split(text, "\r?\n")).alias("place", "line")).where(_stem(F.col("line")))
     anchors = F.array(*(F.lit(w) for w in anchor_words(m)))
     worded = lines.select("doc_id", "place", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)).alias("t")).where(F.arrays_overlap("t", anchors))
     placed = worded.select("doc_id", "place", "t", F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: F.array_contains(anchors, F.element_at("t", i))).alias("at"))
     found = materialize(spark, placed.select("doc_id", "place", F.explode(_ngrams(F.col("t"), F.col("at"))).alias("gram")).distinct(), "grams")
-    scored = found.join(weights, "gram").groupBy("doc_id", "place").agg(*(F.sum(f"w{i}").alias(f"s{i}") for i in range(k)))
+    return _judged(spark, found, ["doc_id", "place"], m)[0].drop("hits")
+
+
+def _judged(spark: SparkSession, found: DataFrame, keys: list[str], m: Model) -> tuple[DataFrame, DataFrame]:
+    """keys, family, probability, cover, hits, confirmed of what the model is sure of; and keys, family, cover, hits of all that shares n-grams with a template."""
+    k = len(m.families)
+    weights = F.broadcast(spark.createDataFrame([(g, *w) for g, w in m.weights.items()], "gram string, " + ", ".join(f"w{i} double" for i in range(k))))
+    scored = found.join(weights, "gram").groupBy(*keys).agg(*(F.sum(f"w{i}").alias(f"s{i}") for i in range(k)))
     z = [(F.col(f"s{i}") + m.bias[i]) / m.temperature for i in range(k)]
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
     best = F.lit(UNKNOWN)
     for i in range(k - 1, -1, -1):
         best = F.when(z[i] == top, m.families[i]).otherwise(best)
-    scored = scored.select("doc_id", "place", best.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
+    scored = scored.select(*keys, best.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
     sets = [(f, f"{f}/{i}", g, len(grams(t))) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for g in sorted(grams(t))]
     template = F.broadcast(spark.createDataFrame(sets, "family string, template string, gram string, size int"))
-    scored = materialize(spark, scored, "scored")
-    again = found.join(scored, ["doc_id", "place"]).join(template, ["family", "gram"])
-    cover = again.groupBy("doc_id", "place", "family", "template").agg((F.count_distinct("gram") / F.first("size")).alias("cover")).groupBy("doc_id", "place").agg(F.max("cover").alias("cover"))
-    out = scored.join(cover, ["doc_id", "place"], "left").withColumn("cover", F.coalesce("cover", F.lit(0.0)))
-    return out.withColumn("confirmed", F.col("cover") >= COVER)
+    by_template = found.join(template, "gram").groupBy(*keys, "family", "template").agg(F.count_distinct("gram").alias("n"), F.first("size").alias("of"))
+    covers = by_template.groupBy(*keys, "family").agg(F.max(F.struct((F.col("n") / F.col("of")).alias("cover"), "n")).alias("b"))
+    covers = materialize(spark, covers.select(*keys, "family", "b.cover", F.col("b.n").alias("hits")), "covers")
+    out = scored.join(covers, [*keys, "family"], "left").withColumns({"cover": F.coalesce("cover", F.lit(0.0)), "hits": F.coalesce("hits", F.lit(0))})
+    return out.withColumn("confirmed", F.col("cover") >= COVER), covers
+
+
+def spans(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, place, end, family, probability, cover, confirmed for lines, and for adjacent lines that hold a wrapped notice together.
+
+    Adjacent lines are read as one, joined by a space, up to ``REACH`` words between the first and the last; a line
+    without words ends them. They count if they are confirmed and cover more of a template of their family than
+    without their first or last line. What lies within such lines and has fewer n-grams of its template is left to them.
+    """
+    m = model or fit()
+    anchors = F.array(*(F.lit(w) for w in anchor_words(m)))
+    text = F.lower("text")
+    worded = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & _stem(text)).select("doc_id", F.transform(F.split(text, "\r?\n"), lambda x: F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))).alias("ls"))
+    worded = worded.select("doc_id", "ls", F.transform("ls", lambda t: F.size(t)).alias("ns"), F.transform("ls", lambda t: F.arrays_overlap(t, anchors)).alias("has")).where(F.exists("has", lambda x: x))
+    state = lambda words, n, more: F.struct(words.cast("int").alias("words"), n.cast("int").alias("n"), more.alias("more"))
+
+    def following(i: Column) -> Column:
+        """How many lines after line i (from 1) may be read with it."""
+
+        def step(acc: Column, n: Column) -> Column:
+            go = acc["more"] & (n > 0)
+            return state(acc["words"] + n, acc["n"] + go.cast("int"), go & (acc["words"] + n < REACH))
+
+        return F.aggregate(F.slice("ns", i + 1, F.lit(REACH)), state(F.lit(0), F.lit(0), F.lit(True)), step, lambda acc: acc["n"])
+
+    def windows(i: Column) -> Column:
+        ends = F.filter(F.sequence(i, i + following(i)), lambda j: F.exists(F.slice("has", i, j - i + 1), lambda x: x))
+        return F.transform(ends, lambda j: F.struct((i - 1).alias("place"), (j - 1).alias("end"), F.flatten(F.slice("ls", i, j - i + 1)).alias("t")))
+
+    near = F.filter(F.sequence(F.lit(1), F.size("ls")), lambda i: (F.element_at("ns", i) > 0) & F.exists(F.slice("has", i, F.lit(REACH + 1)), lambda x: x))
+    read = worded.select("doc_id", F.explode(F.flatten(F.transform(near, windows))).alias("v")).select("doc_id", "v.place", "v.end", "v.t")
+    placed = read.withColumn("at", F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: F.array_contains(anchors, F.element_at("t", i))))
+    keys = ["doc_id", "place", "end"]
+    found = materialize(spark, placed.select(*keys, F.explode(_ngrams(F.col("t"), F.col("at"))).alias("gram")).distinct(), "grams")
+    judged, covers = _judged(spark, found, keys, m)
+    judged = materialize(spark, judged, "judged")
+    less = covers.select("doc_id", "place", "end", "family", F.col("cover").alias("part"))
+    shorter = less.withColumn("place", F.col("place") - 1).unionAll(less.withColumn("end", F.col("end") + 1)).groupBy(*keys, "family").agg(F.max("part").alias("part"))
+    wrapped = judged.where("confirmed and end > place").join(shorter, [*keys, "family"], "left").where(F.col("cover") > F.coalesce("part", F.lit(0.0))).drop("part")
+    wrapped = materialize(spark, wrapped, "wrapped")
+    over = wrapped.select("doc_id", F.explode(F.sequence("place", "end")).alias("place"), F.col("end").alias("last"), F.col("hits").alias("more"))
+    every = judged.where("end = place").unionByName(wrapped)
+    return every.join(over.withColumnsRenamed({"doc_id": "id", "place": "line_"}), (F.col("doc_id") == F.col("id")) & (F.col("place") == F.col("line_")) & (F.col("end") <= F.col("last")) & (F.col("hits") < F.col("more")), "left_anti").drop("hits")
 
 
 def scan(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_paragraphs, families (confirmed, by name, joined by commas; null if none), license, probability, n_unconfirmed."""
-    p = paragraphs(spark, docs, model)
+    p = spans(spark, docs, model)
     ok = F.col("confirmed")
     by_doc = p.groupBy(F.col("doc_id").alias("id")).agg(
         F.array_join(F.array_sort(F.collect_set(F.when(ok, F.col("family")))), ",").alias("families"),  # no more than there are families

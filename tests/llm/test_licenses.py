@@ -62,3 +62,31 @@ def test_odd_rows_and_native_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert len(licenses.scan(spark, clashing(frame(spark, rows()))).collect()) == len(rows())
     assert licenses.scan(spark, frame(spark, [])).collect() == []
+
+
+def test_wrapped_notices(spark):
+    """Notices wrapped at 20 to 80 columns, with and without comment marks, are those of one line."""
+    import textwrap
+
+    notices = [(f, t) for f, t in PLANTED.values() if f != "unknown"] + [
+        ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("AGPL", "This program is free software: you can redistribute it under the terms of the GNU Affero General Public License"),
+        ("LGPL", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License"),
+    ]
+    rows, want = [], {}
+    for width in (20, 47, 60, 70, 80):
+        for mark in ("", "# "):
+            for f, t in notices:
+                want[len(rows)] = f
+                body = "\n".join(mark + x for x in textwrap.wrap(t, width, break_on_hyphens=False, break_long_words=False))
+                rows.append((len(rows), f"{words(30, len(rows))}\n{body}\n{words(20, len(rows) + 500)}", "en", "s", 1))
+    got = {r.doc_id: (r.families, r.license) for r in licenses.scan(spark, frame(spark, rows)).collect()}
+    assert {i: (got[i], rows[i][1]) for i in got if got[i] != (want[i], want[i])} == {}
+
+
+def test_adjacent_notices_and_blank_lines(spark):
+    two = "Released under the MIT License.\nThis work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."
+    apart = "This work is licensed under a Creative Commons\n\nAttribution-NonCommercial 4.0 International License."
+    got = {r.doc_id: r.families for r in licenses.scan(spark, frame(spark, [(0, two, "en", "s", 1), (1, apart, "en", "s", 1)])).collect()}
+    assert got[0] == "CC-BY-NC,MIT" and got[1] != "CC-BY-NC"
