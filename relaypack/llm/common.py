@@ -14,9 +14,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the cluster names none."""
+    """The folder that the driver and all executors share. Only a local session without one gets a temporary folder; a cluster must name its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="relaypack-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
