@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a temporary folder only where the cluster names none."""
+    """What spark.checkpoint.dir names. A local session without one gets a temporary folder; a cluster must name its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="relaypack-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
