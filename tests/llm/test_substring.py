@@ -82,3 +82,13 @@ def test_hash_of_pieces_does_not_depend_on_cuts():
     finally:
         substring.PIECE = old
     assert all(np.array_equal(a, b) for a, b in zip(whole.words, cut.words, strict=True)) and np.array_equal(whole.starts, cut.starts)
+
+
+def test_many_rows_of_one_id_are_spread(spark):
+    passage = words(40, 7)
+    rows = [(None, f"{words(20, i)} {passage}", "en", "s", 1) for i in range(60)] + [(5, passage, "en", "s", 1)] * 60 + [(6, f"{passage} end", "en", "s", 1)]
+    df = frame(spark, rows).repartition(5)
+    for block_bytes in (None, 3000):
+        assert result(substring.dedup(spark, df, block_bytes=block_bytes)) == sorted((x[:4] for x in brute(rows)), key=key)
+    got = substring.dedup(spark, df, block_bytes=3000, text_out=True).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(((d, t if not gone else kept) for (d, _, gone, _, kept), (_, t, *_) in zip(brute(rows), rows, strict=True)), key=key)
