@@ -3,12 +3,15 @@
 The posterior of a language multiplies four pieces of evidence:
 
 * the text: byte trigrams of the lower-cased letters under a multinomial model of each language, tempered to ``EVIDENCE`` trigrams
-  at most, since neighbours are not independent; a uniform model stands for "und", any other language or none;
+  at most, since neighbours are not independent: with 60, posteriors of texts that differ from their label's model in a few
+  words only are still below 1, and other evidence can be heard; texts are read whole whatever their length;
+  a uniform model stands for "und", any other language or none;
 * the declared markup language, right with a chance of ``DECLARED``;
 * the address suffix and the host: soft counts of the text evidence, summed by suffix and by host, each smoothed by the
   level above (host by suffix, suffix by all rows). A row's own count is left out of its prior.
 
-The models are fitted on at most ``SAMPLE`` labelled rows, those of least id hash; everything else covers all rows.
+The models are fitted on at most ``SAMPLE`` labelled rows of each label, those of least id hash; everything else covers all
+rows. Every label has a model (256 KB each, sent to all executors), so labels are to be languages: more than ``LABELS`` of them raise an error.
 Hosts and suffixes are grouped with partial sums, so a host with a third of all rows is no hot key, and their join is
 left to Spark, which broadcasts it only if it is small and splits hot keys else.
 
@@ -19,17 +22,19 @@ labelled row every text is "und". Texts are read whole.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relaypack.llm.common import materialize
+from relaypack.llm.html_density import visible_text
 
-SAMPLE = 2000
-LANGUAGES = 60
+SAMPLE = 500
+LABELS = 1000
 BITS = 16
 EVIDENCE = 60.0
 DECLARED = 0.9
@@ -37,6 +42,8 @@ HOST_WEIGHT, SUFFIX_WEIGHT, COUNTRY_WEIGHT = 10.0, 50.0, 5.0
 UNKNOWN = "und"
 UNKNOWN_PRIOR = 0.01
 PART = 1 << 20
+#: Model entries gathered at once.
+CELLS = 1 << 22
 COUNTRY = {"fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "ar": "es", "co": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "se": "sv", "dk": "da", "no": "no", "fi": "fi", "gr": "el", "cz": "cs", "tr": "tr", "kr": "ko"}
 _LETTER = np.full(256, 0x20, np.uint32)
 _LETTER[ord("a") : ord("z") + 1] = range(ord("a"), ord("z") + 1)
@@ -67,10 +74,26 @@ def slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield at, part
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(counts, "<i8").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<i8")
+
+
 def fit(labelled: DataFrame, *, key: str, text: str, label: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, "und" last, and the log-likelihood of each bucket under each: (2**BITS + 1, languages)."""
-    ids = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, F.xxhash64(F.lit(11), key).alias("h")).orderBy("h", key).limit(sample)
-    some = labelled.select(key, F.col(label).cast("string").alias("label"), F.col(text).alias("text")).join(F.broadcast(ids.select(key).distinct()), key).select("label", "text")
+    hashed = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, F.col(label).cast("string").alias("label"), F.xxhash64(F.lit(11), key).alias("h"))
+    sizes = hashed.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    if sizes.count() > LABELS:
+        raise ValueError(f"more than {LABELS} labels: these are no languages")
+    # about twice the sample by hash, so that no label's rows are sorted together but those few; then the least of them
+    share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    few = hashed.join(F.broadcast(sizes), "label").where(share * F.col("n") <= 2 * sample + 50)
+    first = F.row_number().over(Window.partitionBy("label").orderBy("h", key))
+    ids = few.withColumn("i", first).where(F.col("i") <= sample).select(key).distinct()
+    some = labelled.select(key, F.col(label).cast("string").alias("label"), F.col(text).alias("text")).join(F.broadcast(ids), key).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -80,16 +103,16 @@ def fit(labelled: DataFrame, *, key: str, text: str, label: str, sample: int = S
                     sums.setdefault(name, np.zeros((1 << BITS) + 1, np.int64))
                     np.add.at(sums[name], trigrams([t])[0], 1)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["label", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([_packed(v) for v in sums.values()], pa.binary())], ["label", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), "<i8") for x in t.column("counts"))
-        return pa.table({"label": t.column("label").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        total = sum(_unpacked(x.as_py()) for x in t.column("counts"))
+        return pa.table({"label": t.column("label").slice(0, 1), "counts": pa.array([_packed(total)], pa.binary())})
 
-    # half a MB a language; the sample bounds how many languages there are
+    # some 50 KB a language
     rows = some.mapInArrow(count, "label string, counts binary").groupBy("label").applyInArrow(add, "label string, counts binary").collect()
-    counts = {r.label: np.frombuffer(r.counts, "<i8")[:-1].astype(float) for r in rows}
-    names = sorted(sorted(counts, key=lambda n: (-counts[n].sum(), n))[:LANGUAGES])
+    counts = {r.label: _unpacked(r.counts)[:-1].astype(float) for r in rows}
+    names = sorted(counts)
     size = 1 << BITS
     pooled = sum((counts[n] for n in names), np.zeros(size))
     back = 0.5 * pooled / max(1.0, pooled.sum()) + 0.5 / size
@@ -114,10 +137,20 @@ def _base(languages: list[str]) -> np.ndarray:
     return np.array([UNKNOWN_PRIOR if x == UNKNOWN else (1 - UNKNOWN_PRIOR) / max(1, len(languages) - 1) for x in languages])
 
 
+def _sums(model: np.ndarray, bucket: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The model's rows summed text by text, CELLS of them at once."""
+    total, step = np.zeros((len(start), model.shape[1])), max(1, CELLS // model.shape[1])
+    for at in range(0, len(bucket), step):
+        end = min(len(bucket), at + step)
+        lo, hi = np.searchsorted(start, (at, end - 1), "right") - (1, 0)
+        total[lo:hi] += np.add.reduceat(model[bucket[at:end]], np.maximum(start[lo:hi] - at, 0), axis=0, dtype=np.float64)
+    return total
+
+
 def likelihoods(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
     """id, host, suffix, declared, n (letter trigrams), x (log of text and declared evidence), p (its posterior, zeros without letters)."""
     names = ["id", "host", "suffix", "declared", "n", "x", "p"]
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # (2**BITS + 1) x (LANGUAGES + 1) floats at most: 16 MB
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # (2**BITS + 1) x (LABELS + 1) floats at most: 256 MB; 1.3 MB for four languages
     place = {lang: i for i, lang in enumerate(languages) if lang != UNKNOWN}
     k = len(languages)
 
@@ -126,7 +159,7 @@ def likelihoods(rows: DataFrame, languages: list[str], model: np.ndarray) -> Dat
         for batch in batches:
             for at, part in slices([x or "" for x in batch.column(4).to_pylist()]):
                 bucket, start = trigrams(part)
-                total = np.add.reduceat(model[bucket], start, axis=0, dtype=np.float64)
+                total = _sums(model, bucket, start)
                 n = np.add.reduceat((bucket < 1 << BITS).astype(np.int64), start)
                 x = total * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
                 said = np.array([place.get(d, -1) for d in batch.column(3).slice(at, len(part)).to_pylist()])
@@ -181,7 +214,7 @@ def identify(spark: SparkSession, rows: DataFrame, languages: list[str], model:
 
 def _declared(col: str) -> Column:
     """The primary subtag of the lang attribute of an html element, lower-cased; null if there is none."""
-    return F.nullif(F.lower(F.regexp_extract(col, r"(?i)<html[^>]{0,200}\slang=[\"']?([a-zA-Z]{2,3})\b", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(col, r"(?i)<html\s(?:[^>]*\s)?lang=[\"']?([a-zA-Z]{2,3})\b", 1)), F.lit(""))
 
 
 def documents(spark: SparkSession, docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
@@ -192,9 +225,16 @@ def documents(spark: SparkSession, docs: DataFrame, *, sample: int = SAMPLE) ->
 
 
 def pages(spark: SparkSession, web: DataFrame, docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
-    """Languages of ``pages``, with the models fitted on labelled ``docs``."""
+    """Languages of all visible text of ``pages``, character references decoded, with the models fitted on labelled ``docs``."""
     languages, model = fit(docs, key="doc_id", text="text", label="lang", sample=sample)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([visible_text(x) for x in part.column(3).to_pylist()], pa.string())], ["id", "url", "declared", "text"])
+
+    shown = web.select(F.col("page_id").alias("id"), "url", _declared("html").alias("declared"), "html").mapInArrow(seen, "id bigint, url string, declared string, text string")
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1))
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>|&[a-zA-Z]+;", " ")
-    rows = web.select(F.col("page_id").alias("id"), bare.alias("text"), F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, r"\.([a-z]{2,})$", 1), F.lit("")).alias("suffix"), _declared("html").alias("declared"))
+    rows = shown.select("id", "text", F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, r"\.([a-z]{2,})$", 1), F.lit("")).alias("suffix"), "declared")
     return identify(spark, rows, languages, model, key="page_id")

@@ -1,4 +1,8 @@
+import math
+
+import pytest
 from docs import ODD, clashing, frame
+from pyspark.sql import functions as F
 
 from relaypack.llm import langid
 
@@ -48,3 +52,75 @@ def test_pages(spark, sf_dir):
     assert len(out) == 50 and sum(r.accepted for r in out) >= 45
     agree = [r.language == r.declared for r in out if r.declared and r.n_trigrams > 200]
     assert sum(agree) >= 0.9 * len(agree)
+
+
+def fused(rows, languages, declared_in_x=True):
+    """The fusion row by row: ``rows`` are likelihoods (id, host, suffix, declared, n, x, p)."""
+    k = len(languages)
+    base = [langid.UNKNOWN_PRIOR if x == "und" else (1 - langid.UNKNOWN_PRIOR) / max(1, k - 1) for x in languages]
+    add = lambda a, b: [x + y for x, y in zip(a, b, strict=True)]
+    every, hosts, suffixes = [0.0] * k, {}, {}
+    for r in rows:
+        every = add(every, r.p)
+        if r.host is not None:
+            hosts[r.host] = add(hosts.get(r.host, [0.0] * k), r.p)
+        if r.suffix is not None:
+            suffixes[r.suffix] = add(suffixes.get(r.suffix, [0.0] * k), r.p)
+    out = {}
+    for r in rows:
+        less = lambda total: [max(a - b, 0.0) for a, b in zip(total, r.p, strict=True)]  # noqa: B023, E731
+        above = [x + 1 for x in less(every)]
+        above = [x / sum(above) for x in above]
+        suffix = less(suffixes[r.suffix]) if r.suffix is not None else [0.0] * k
+        lang = langid.COUNTRY.get((r.suffix or "").lower())
+        if lang in languages:
+            suffix[languages.index(lang)] += langid.COUNTRY_WEIGHT
+        level = [(s + langid.SUFFIX_WEIGHT * a) / (sum(suffix) + langid.SUFFIX_WEIGHT) for s, a in zip(suffix, above, strict=True)]
+        host = less(hosts[r.host]) if r.host is not None else [0.0] * k
+        prior = [(h + langid.HOST_WEIGHT * x) / (sum(host) + langid.HOST_WEIGHT) for h, x in zip(host, level, strict=True)]
+        score = [x + math.log(p) for x, p in zip(r.x, prior, strict=True)]
+        odds = [math.exp(x - max(score)) for x in score]
+        best = score.index(max(score))
+        text = [x + math.log(b) for x, b in zip(r.x, base, strict=True)]
+        out[r.id] = ("und", 0.0, "und", False) if not r.n else (languages[best], odds[best] / sum(odds), languages[text.index(max(text))], languages[best] != "und")
+    return out
+
+
+def _equal(got, want):
+    assert len(got) == len(want)
+    for r in got:
+        language, chance, text, accepted = want[r[0]]
+        assert (r.language, r.text_language, r.accepted) == (language, text, accepted) and r.probability == pytest.approx(chance, abs=1e-9)
+
+
+def test_fusion_equals_plain_python_over_whole_tables(spark, sf_dir):
+    docs, web = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
+    languages, model = langid.fit(docs, key="doc_id", text="text", label="lang")
+    # hosts with suffixes, declarations and texts of a few words: all four pieces of evidence at work
+    some = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 > 0, F.substring_index("text", " ", 2)).otherwise(F.col("text")).alias("text"), F.concat(F.col("source"), F.when(F.col("doc_id") % 2 == 0, ".example.fr").otherwise(".example.com")).alias("host"))
+    some = some.withColumns({"suffix": F.regexp_extract("host", "[a-z]+$", 0), "declared": F.when(F.col("id") % 5 == 0, "de").when(F.col("id") % 5 == 1, "xx")})
+    told = langid.likelihoods(some, languages, model).collect()
+    assert {r.suffix for r in told} == {"fr", "com"} and any(r.declared == "de" for r in told)
+    _equal(langid.identify(spark, some, languages, model, key="id").collect(), fused(told, languages))
+    out = langid.pages(spark, web, docs).collect()
+    assert all(r.host and r.suffix for r in out) and any(r.declared for r in out)
+
+
+def test_many_labels_and_far_declarations(spark):
+    letters = "bcdfghjklmnpqrstvwxyz"
+    name = lambda i: f"l{i:02d}"
+    text = lambda i: " ".join(f"{letters[i % 21]}{v}{letters[(i * 5 + 3) % 21]}{letters[i // 21]}" for v in "aeiouaeiou")
+    rows = [(61 * j + i, text(i), name(i), "s", 1) for i in range(61) for j in range(2)]
+    out = langid.documents(spark, frame(spark, rows)).collect()
+    assert sum(r.language == name(r.doc_id % 61) for r in out) >= 118
+    page = f'<html {"data-x=y " * 60} class="a" lang="fr-CA"><body>ok</body></html>'
+    assert len(page) > 500
+    got = spark.createDataFrame([(page,), ('<html xml:lang="de">',), ("<html><p lang=en>",), ('<HTML LANG=es>',)], "t string").select(langid._declared("t").alias("d")).collect()
+    assert [r.d for r in got] == ["fr", None, None, "es"]
+
+
+def test_pages_decode_references(spark):
+    web = spark.createDataFrame([(1, "http://x.example.com/", "<p>caf&eacute; &#233;t&#xe9;</p><script>no()</script>")], "page_id bigint, url string, html string")
+    from relaypack.llm.html_density import visible_text
+
+    assert visible_text(web.first().html) == "café été"
