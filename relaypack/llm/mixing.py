@@ -11,11 +11,13 @@ Expected copies rise with a document's length class (``length_tilt`` for each do
 within a source too, and never exceed ``most`` copies.
 
 Nulls: a null text has size 0 and takes 0 words; a null source is a source of its own and comes last. Documents of a
-source without words have target 0. Equal ranks (repeated rows) go by id, then by a hash of the text; rows equal in
-all are taken in either order. An empty table gives an empty result. Extra columns are ignored.
+source without words have target 0. Equal ranks (repeated rows) go by id, then by a hash of the text, then by the row's
+place in the input, so equal rows are drawn one by one. An empty table gives an empty result. Extra columns are ignored.
 
-Sources are summed by (source, length class): that table (64 rows a source at most) goes to the driver. Nothing else
-does. Documents of one source are never sorted together: their words are summed by bins of the rank, finer bins are
+Sources may be many: their sizes, weights, targets and expected copies stay in tables, and only sums over all of them go to
+the driver. The targets are found by raising the share that one unit of weight gets until no more source is full; a round is a sum over the
+table of sources. Tables of a row a source are broadcast up to ``FEW`` rows (5 MB) and joined as Spark chooses beyond; the results are the same.
+Documents of one source are never sorted together: their words are summed by bins of the rank, finer bins are
 taken in the bin where the target falls, and only the last bin's documents are ordered. This is repeated with the
 documents that fit the gap, until none does. A round is a few jobs over narrow rows and takes a document or more of each
 source with a gap; targets of a thousand times the longest document need no more than one.
@@ -31,43 +33,56 @@ from relaypack.llm.common import WORD, materialize
 BINS = 1024
 #: A gap of no more than this part of its target is left.
 FINE = 0.001
+#: Sources whose tables are broadcast.
+FEW = 50_000
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """Share ``share`` times all sizes by weight; no target above ``most`` times its source's size, the excess is shared anew."""
-    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    out: dict[str | None, float] = {}
-    left, free = share * sum(sizes.values()), list(order)
-    while free:
-        each = left / sum(weight[s] for s in free)
-        full = [s for s in free if each * weight[s] > most * sizes[s]]
-        if not full:
-            return out | {s: each * weight[s] for s in free}
-        for s in full:
-            out[s] = most * sizes[s]
-            left -= out[s]
-        free = [s for s in free if s not in out]
-    return out
-
-
-def copies(classes: dict[int, int], target: float, most: float, tilt: float) -> dict[int, float]:
-    """Expected copies of a document by length class: proportional to 1 + tilt * class, ``most`` at most, target words in all."""
-    out: dict[int, float] = {}
-    left, free = target, {c: n for c, n in classes.items() if n}
-    while free:
-        each = left / sum((1 + tilt * c) * n for c, n in free.items())
-        full = [c for c in free if each * (1 + tilt * c) >= most]
-        if not full:
-            return out | {c: max(0.0, each * (1 + tilt * c)) for c in free}
-        for c in full:
-            out[c] = most
-            left -= most * free.pop(c)
-    return out
+def weighed(spark: SparkSession, sums: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """Adds ``weight`` to a row a source (source, n): weights repeat in the order of code points, null last. No task sorts all sources."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # bytes of UTF-8 are in the order of code points
+    dealt = materialize(spark, sums.withColumn("null", F.col("source").isNull()).repartitionByRange(parts, "null", "source").withColumn("part", F.spark_partition_id()), "sources")
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    before = counts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("null", "source")) - 1 + F.col("before")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    return dealt.join(before, "part").select("source", "n", weight.alias("weight"))
+
+
+def targets(spark: SparkSession, sums: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """source, source_size, target of a row a source (source, n): ``share`` times all sizes by weight; no target above ``most`` times
+    its source's size, the excess is shared anew."""
+    known = materialize(spark, weighed(spark, sums, weights), "weights")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    each = 0.0
+    while True:
+        full = F.lit(each) * F.col("weight") > most * F.col("n")
+        of_full, of_free = known.agg(F.sum(F.when(full, F.col("n"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not of_free:
+            break
+        was, each = each, (share * total - most * (of_full or 0)) / of_free
+        if each <= was:
+            break
+    goal = F.when(F.lit(each) * F.col("weight") > most * F.col("n"), most * F.col("n")).otherwise(F.lit(each) * F.col("weight"))
+    return known.select("source", F.col("n").alias("source_size"), goal.cast("double").alias("target"))
+
+
+def copies(classes: DataFrame, most: float, tilt: float) -> DataFrame:
+    """Adds ``e``, a document's expected copies, to (source, class, n, target): proportional to 1 + tilt * class, ``most`` at most, target words
+    in all. Higher classes are full first."""
+    factor = 1 + tilt * F.col("class")
+    down = Window.partitionBy("source").orderBy(F.col("class").desc())
+    above = F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.sum(factor * F.col("n")).over(Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
+    tried = classes.withColumn("each", F.when(F.col("n") > 0, (F.col("target") - most * above) / below))
+    free = F.min(F.when(F.col("each") * factor < most, F.struct((-F.col("class")).alias("c"), F.col("each").alias("each")))).over(Window.partitionBy("source"))
+    tried = tried.withColumn("free", free)
+    e = F.when(F.col("n") == 0, 0.0).when(F.col("free").isNull() | (F.col("class") > -F.col("free.c")), most).otherwise(F.greatest(F.lit(0.0), F.col("free.each") * factor))
+    return tried.withColumn("e", e).drop("each", "free")
 
 
 def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, length_tilt: float = 0.02, seed: int = 7) -> DataFrame:
@@ -75,25 +90,18 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, ...] = (5
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("tie"), u.alias("u"), F.monotonically_increasing_id().alias("row"))
     sized = materialize(spark, sized.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(-1).cast("int")), "sizes")
-    sums = sized.groupBy("source", "class").agg(F.sum("size").alias("n")).collect()
-    by: dict[str | None, dict[int, int]] = {}
-    for s, c, n in sums:
-        by.setdefault(s, {})[c] = n
-    size = {s: sum(x.values()) for s, x in by.items()}
-    goal = targets(size, weights, share, most)
-    rows = []
-    for s, classes in by.items():
-        e = copies(classes, goal[s], most, length_tilt)
-        certain = sum(int(e[c]) * classes[c] for c in e)
-        rows += [(s, c, size[s], float(goal[s]), int(e.get(c, 0)), e.get(c, 0.0) - int(e.get(c, 0)), goal[s] - certain) for c in classes]
-    plan = spark.createDataFrame(rows, "source string, class int, source_size long, target double, whole int, p double, rest double")
-    if len(rows) <= 50_000:  # about 5 MB; beyond it Spark chooses the join
-        plan = F.broadcast(plan)
-    known = sized.join(plan.withColumnRenamed("source", "s").withColumnRenamed("class", "c"), F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).drop("s", "c")
+    classes = materialize(spark, sized.groupBy("source", "class").agg(F.sum("size").alias("n")), "classes")
+    goals = materialize(spark, targets(spark, classes.groupBy("source").agg(F.sum("n").alias("n")), weights, share, most), "targets")
+    few = goals.count() <= FEW
+    held = classes.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    expected = copies(held, most, length_tilt).withColumn("whole", F.floor("e").cast("int"))
+    rest = F.col("target") - F.sum(F.col("whole") * F.col("n")).over(Window.partitionBy("source"))
+    plan = expected.select(F.col("source").alias("s"), F.col("class").alias("c"), "source_size", "target", "whole", (F.col("e") - F.col("whole")).alias("p"), rest.alias("rest"))
+    plan = materialize(spark, plan, "plan")
+    known = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).drop("s", "c")
     # x = rank / (1 + rank) lies in (0, 1) and is as the rank in order
     odds, inclusion = F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p"))
     x = F.when(F.col("p") > 0, odds / (odds + inclusion))
-    few = len(by) <= 50_000
     state = known.select("doc_id", "source", "size", "source_size", "target", "tie", "row", "whole", x.alias("x"), F.col("whole").alias("held"), F.col("rest").alias("gap"))
     state = materialize(spark, state, "drawn")
     # y orders the first copies of the draw before all further ones

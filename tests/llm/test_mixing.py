@@ -58,11 +58,83 @@ def test_clashing_columns_and_empty_table(spark):
     assert mixing.mix(spark, frame(spark, [])).collect() == []
 
 
-def test_targets_reshare_the_excess():
-    t = mixing.targets({"a": 10, "b": 1000, None: 1000})
+def test_targets_reshare_the_excess(spark):
+    sums = spark.createDataFrame([("a", 10), ("b", 1000), (None, 1000)], "source string, n bigint")
+    t = {r.source: r.target for r in mixing.targets(spark, sums).collect()}
     assert t["a"] == 20 and abs(sum(t.values()) - 3015) < 1e-6 and abs(t["b"] / t[None] - 2) < 1e-6 or t["b"] == 2000
 
 
+def test_weights_go_by_code_point_over_many_sources(spark):
+    names = [chr(0x10FFFF - 7 * i) for i in range(300)] + ["\U0001F642", "\uFF5E", "a", "B", None]
+    got = {r.source: r.weight for r in mixing.weighed(spark, spark.createDataFrame([(x, 1) for x in names], "source string, n bigint"), (5, 2, 1)).collect()}
+    order = [*sorted({x for x in names if x is not None}), None]
+    assert got == {x: (5.0, 2.0, 1.0)[i % 3] for i, x in enumerate(order)}
+
+
+def drawn(spark, rows, most=2.0, tilt=0.02, seed=7):
+    """The draw in plain Python, row by row: (doc_id, size, taken) of each row."""
+    hashed = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(rows)], "i bigint, doc_id bigint, text string").selectExpr("i", f"(shiftrightunsigned(xxhash64({seed}, doc_id), 11) + 0.5D) / 9007199254740992D as u", "xxhash64(text) as tie").collect()
+    hashes = {r.i: (r.u, r.tie) for r in hashed}
+    sizes, by = defaultdict(int), defaultdict(list)
+    for i, (d, s, n) in enumerate(sized(rows)):
+        sizes[s] += n
+        by[s].append((i, d, n))
+    out, goals = {}, water_fill(sizes)
+    for s, members in by.items():
+        factor = lambda n: 1 + tilt * (n.bit_length() - 1)
+        level, lo, hi = 0.0, 0.0, 1e6
+        for _ in range(300):
+            level = (lo + hi) / 2
+            lo, hi = (level, hi) if sum(min(most, level * factor(n)) * n for _, _, n in members if n) < goals[s] else (lo, level)
+        whole, p = {}, {}
+        for i, _, n in members:
+            e = min(most, hi * factor(n)) if n else 0.0
+            e = round(e, 9)
+            whole[i], p[i] = int(e), e - int(e)
+        gap = goals[s] - sum(whole[i] * n for i, _, n in members)
+        held = dict(whole)
+
+        def key(m):
+            i, d, _ = m
+            u, tie = hashes[i]
+            odds = u / (1 - u)
+            x = odds / (odds + p[i] / (1 - p[i])) if p[i] > 0 else None  # noqa: B023
+            first = x is not None and held[i] == whole[i]  # noqa: B023
+            return (x / 2 if first else 0.5 + (1.0 if x is None else x) / 2), d is not None, d or 0, tie
+
+        may = lambda m: m[2] and (p[m[0]] > 0 and held[m[0]] == whole[m[0]] or held[m[0]] + 1 <= most)  # noqa: B023, E731
+        while gap > mixing.FINE * goals[s]:
+            able = sorted((m for m in members if may(m) and m[2] < gap + 0.5), key=key)
+            if not able:
+                break
+            room = gap + 0.5
+            for m in able:
+                if m[2] >= room:
+                    break
+                room -= m[2]
+                gap -= m[2]
+                held[m[0]] += 1
+        if gap > mixing.FINE * goals[s]:
+            near = sorted((abs(m[2] - gap), m) for m in members if may(m) and abs(m[2] - gap) < gap)
+            if near:
+                held[near[0][1][0]] += 1
+        for i, d, n in members:
+            out[i] = (d, n, held[i] * n)
+    return sorted(map(str, out.values()))
+
+
+def test_draw_equals_plain_python(spark, sf_dir):
+    for rows in (corpus(), [(i, words(1 + (i * 37) % 300, i), "en", f"src{i % 3}", 1) for i in range(120)], [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]):
+        got = sorted(str((r.doc_id, r.size, r.taken)) for r in mixing.mix(spark, frame(spark, rows)).collect())
+        assert got == drawn(spark, rows)
+
+
+def test_equal_rows_are_drawn_one_by_one(spark):
+    rows = [(i, words(10, i), "en", "a", 1) for i in range(400)] + [(1000 + i, words(10, i), "en", "b", 1) for i in range(400)] + 400 * [(5000, words(10, 1), "en", "c", 1)]
+    got, taken, want = check(spark, rows)
+    assert all(abs(taken[s] - want[s]) <= 10 for s in "abc") and want["c"] > 1000
+
+
 def test_inclusion_rises_with_size(spark):
     """Draws over many seeds keep to the expected copies."""
     rows = [(i, words(20 if i % 2 else 200, i), "en", "s" if i < 40 else "t", 1) for i in range(80)]
