@@ -1,7 +1,8 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian verification, exact confirmation, components.
 
-1. Each text's shingle set gets a one-permutation MinHash signature with optimal densification. Documents of equal sets form a
-   class, whose smallest id goes on for all of them.
+1. Each text's shingle set gets a one-permutation MinHash signature with optimal densification. Documents of the same words in
+   the same order (lower-cased; by a 128-bit BLAKE2 digest of all of them) form a class, whose smallest id goes on for all of them.
+   Equal sets of other texts are confirmed as any other pair is.
 2. Bands of the signature form buckets. Each member of a bucket meets its smallest member only, so a bucket of any
    size gives one candidate pair a member.
 3. Signatures of candidates are compared batch by batch. After n positions with m matches the similarity is
@@ -118,7 +119,7 @@ def survivors(a: np.ndarray, b: np.ndarray, need: list[tuple[int, int]]) -> np.n
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    names = ["doc_id", "n_shingles", "set_hash", "sig"]
+    names = ["doc_id", "n_shingles", "same", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +132,11 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
                 doc, w, bound = _hashes(part, k)
                 sig = signatures(doc, w, len(part))
                 count = np.diff(bound)
-                sets = [hashlib.blake2b(w[bound[i] : bound[i + 1]].tobytes(), digest_size=16).digest() if count[i] else None for i in range(len(part))]
+                same = [hashlib.blake2b(b" ".join(x.split()), digest_size=16).digest() if count[i] else None for i, x in enumerate(part)]
                 rows = [s.tobytes() if count[i] else None for i, s in enumerate(sig)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(count, pa.int64()), pa.array(sets, pa.binary()), pa.array(rows, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(count, pa.int64()), pa.array(same, pa.binary()), pa.array(rows, pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, same binary, sig binary")
 
 
 def _bands() -> Column:
@@ -263,9 +264,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     need = needed_matches(percent / 100, miss)
     told = materialize(spark, _describe(docs, shingle), "signatures")
     real = told.where("doc_id is not null and n_shingles > 0")
-    classes = real.groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = materialize(spark, classes.where("n > 1").select("set_hash", "first"), "classes")
-    named = told.join(shared, "set_hash", "left").select("doc_id", "n_shingles", "sig", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("id"))
+    classes = real.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = materialize(spark, classes.where("n > 1").select("same", "first"), "classes")
+    named = told.join(shared, "same", "left").select("doc_id", "n_shingles", "sig", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("id"))
     named = materialize(spark, named, "named")
     sigs = named.where("id = doc_id").select("id", "sig")
     bucket = sigs.select("id", F.posexplode(_bands()).alias("band", "key"))
