@@ -221,12 +221,35 @@ def test_tool_errors(spark):
 # ---- spans and plans
 
 
-def test_spans_cover_their_texts():
-    for text in ("a\n\nb  \r\nc", "x\n```\ncode\n\nmore\n```\nend", "~~~~\nopen\n~~~\n", "", " one ", "```\n``` tail\nz"):
-        for s, e in spans.text_spans(text):
-            assert text[s:e].strip()
-        assert "".join(text[s:e] for s, e in spans.text_spans(text)).split() == text.split()
-    assert spans.text_spans("~~~~\nopen\n~~~\n") == [(0, 14)]
+def _spans_by_hand(text):
+    """Nonblank lines; a fence opens a span that ends after the next line that begins with it."""
+    import re
+
+    lines, out, at = text.splitlines(keepends=True), [], 0
+    while lines:
+        n = 1
+        if m := re.match(r"[ \t]*(`{3,}|~{3,})", lines[0]):
+            closing = [i for i, x in enumerate(lines[1:], 1) if x.lstrip(" \t").startswith(m[1])]
+            n = closing[0] + 1 if closing else len(lines)
+        piece = "".join(lines[:n])
+        if piece.strip():
+            out.append((at, at + len(piece)))
+        at, lines = at + len(piece), lines[n:]
+    return out
+
+
+def test_text_spans_equal_the_rule(spark):
+    import random
+
+    r = random.Random(3)
+    texts = ["~~~~\nopen\n~~~\n", "", "\n\n", "a\r\n\r\nb\rc\x0bd e", "x\n```py\ncode\n\n  ```\nafter", "  ````\n```\n````` end\nz", "é🙂\n🙂"]
+    texts += ["".join(r.choices(["a b", "```", "~~~", "````", "  ", "\n", "\n", "\r\n", "\r", "\x85", "\t", "é"], k=r.randint(1, 40))) for _ in range(300)]
+    df = spark.createDataFrame([(i % 7, i, t) for i, t in enumerate(texts)], "handoff_id bigint, msg_idx int, content string")
+    got = {}
+    for row in spans.text_spans(df).select("msg_idx", "_s.*").orderBy("msg_idx", "part").collect():
+        assert row.content == texts[row.msg_idx][row.start : row.end] and row.part == len(got.get(row.msg_idx, []))
+        got.setdefault(row.msg_idx, []).append((row.start, row.end))
+    assert got == {i: x for i, t in enumerate(texts) if (x := _spans_by_hand(t))}
 
 
 def test_windows():
