@@ -53,6 +53,11 @@ def check_plan(units: DataFrame, plan: DataFrame, coverage: DataFrame, contract:
         ("source_not_selected", unpicked),
         ("need_uncovered", ids.join(covered, "handoff_id", "left").where(F.coalesce("n", F.lit(0)) < n_needs)),
     ]
+    return first_broken(rules)
+
+
+def first_broken(rules: list[tuple[str, DataFrame]]) -> DataFrame:
+    """handoff_id, code: the first of some rules whose rows name the handoff."""
     out = None
     for i, (code, rows) in enumerate(rules):
         one = rows.select("handoff_id", F.lit(i).alias("i"), F.lit(code).alias("code"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,14 @@ def _sectioned(spark: SparkSession, sf_dir: str):
     return f.with_(messages=f.messages.withColumn("kind", kind))
 
 
+def _fit_sql(source: str, n: str = "") -> str:
+    """The greedy fit of a table shaped as conversations, with names of its own."""
+    out = _ITEMS.replace("from conversations)", f"from {source})")
+    for name in ("items", "req", "opt", "fitted", "kept"):
+        out = re.sub(rf"\b{name}\b(?!\'|\()", name + n, out) if n else out
+    return out.replace(f"'kept{n}'", "'kept'").replace(f".kept{n}", ".kept")
+
+
 _ITEMS = """items as (select conv_id, turn, case role when 'system' then 'constraints' when 'assistant' then 'decisions' else 'evidence' end as section,
  case role when 'system' then 0 when 'assistant' then 1 else 2 end as ord, role,
  12 + strlen(to_json(text)::varchar) + case role when 'system' then 13 + 8 when 'assistant' then 11 + 8 else 10 + 8 end + case when role <> 'user' then strlen(to_json(role)::varchar) + 8 else 0 end as bytes from conversations),
@@ -112,7 +122,15 @@ def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiler.section_counts(f.with_(messages=compiler.classify(f.messages))).withColumnRenamed("handoff_id", "conv_id")
 
 
-@query()
+_CLEAN = r"regexp_replace(regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED:email]', 'g'), '(?:\+|\b)\d[\d ()-]{7,}\d\b', '[REDACTED:phone]', 'g')"
+_ITEM_TEXT = "'{\"content\":' || to_json(c.text)::varchar || ',\"kind\":\"' || section || '\"' || case when c.role <> 'user' then ',\"role\":\"' || c.role || '\"' else '' end || '}'"
+
+
+@query(f"""with {_fit_sql('conversations')}, clean as (select conv_id, turn, role, {_CLEAN} as text from conversations join kept using (conv_id, turn)), {_fit_sql('clean', '2')},
+p as (select conv_id, section, string_agg({_ITEM_TEXT}, ',' order by turn) as xs from kept2 join items2 i using (conv_id, turn) join clean c using (conv_id, turn) group by 1, 2),
+t as (select conv_id, '{{"artifacts":[],"completed_work":[],"constraints":[' || coalesce(max(xs) filter (section = 'constraints'), '') || '],"decisions":[' || coalesce(max(xs) filter (section = 'decisions'), '') || '],"evidence":[' || coalesce(max(xs) filter (section = 'evidence'), '')
+ || '],"failed_attempts":[],"goal":"Continue the work","pending_work":[],"receiver":"receiver","sender":"sender","tool_results":[]}}' as receiver_text from p group by conv_id)
+select conv_id, receiver_text, ceil(strlen(receiver_text) / 4)::bigint as packet_tokens from t""")
 def compile_with_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets fitted, redacted and fitted again."""
     out = compiler.compile_handoff(_sectioned(spark, sf_dir), CONTRACT, [redact(["email", "phone"])])
@@ -266,7 +284,10 @@ def unclassified_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(F.col("handoff_id").alias("conv_id"), "classified", F.col("unclassified_indices").alias("unclassified"))
 
 
-@query()
+@query("""with m as (select conv_id, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as body, case when role = 'assistant' then 'Decision: ' || text else text end as t from conversations)
+select conv_id, (ceil((93 + sum(57 + strlen(to_json(t)::varchar) + 9 + 2 + strlen(to_json(role)::varchar) + 2) + 2 * (count(*) - 1)) / 4) + 4)::bigint as source_tokens,
+ ceil((169 + 7 + 10 + 8 + sum(12 + strlen(to_json(body)::varchar) + 19 + 19) filter (role = 'assistant') + count(*) filter (role = 'assistant') - 1) / 4)::bigint as packet_tokens, 0::bigint as omitted_count
+from m group by conv_id having count(*) filter (role = 'assistant') > 0""")
 def compile_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histories normalized and compiled for a receiver that prefers decisions and open work."""
     f = conversation_frames(spark, sf_dir)

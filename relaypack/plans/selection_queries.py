@@ -255,9 +255,22 @@ def audit_report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("handoff_id").alias("conv_id"), "status", "original_tokens", "transmitted_tokens", "protected_messages", "duplicates_removed", "removed_messages", "saved_tokens", F.col("saved_percent").cast("double").alias("saved_percent"))
 
 
-@query()
+_KEY, _MAIL = r"\b(?:sk-[A-Za-z0-9_-]{8,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,})\b", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+_TEL = r"(?:\+|\b)\d[\d ()-]{7,}\d\b"
+
+
+@query(f"""with a as (select conv_id, turn, role, text, regexp_replace(text, '{_KEY}', '[REDACTED:api_key]', 'g') as t1, len(regexp_extract_all(text, '{_KEY}')) as n1 from conversations),
+b as (select *, regexp_replace(t1, '{_MAIL}', '[REDACTED:email]', 'g') as t2, len(regexp_extract_all(t1, '{_MAIL}')) as n2 from a),
+c as (select *, regexp_replace(t2, '{_TEL}', '[REDACTED:phone]', 'g') as t3, n1 + n2 + len(regexp_extract_all(t2, '{_TEL}')) as n, row_number() over (partition by conv_id, role, text order by turn) as k from b),
+d as (select *, k = 1 and role in ('user', 'assistant') as picked, {_WIDE.format('t3')} as bytes from c),
+e as (select *, case when picked then sum(case when picked then bytes + 2 else 0 end) over (partition by conv_id order by turn desc) - 2 end as upto from d),
+f as (select *, picked and ceil((93 + upto) / 4) + 4 <= 800 as sent from e),
+g as (select conv_id, (ceil((93 + sum({_WIDE.format('text')}) + 2 * (count(*) - 1)) / 4) + 4)::bigint as original_tokens, (ceil((93 + coalesce(sum(bytes) filter (sent), 0) + 2 * greatest(count(*) filter (sent) - 1, 0)) / 4) + 4)::bigint as transmitted_tokens, sum(n)::bigint as redactions,
+ count(*) filter (k > 1)::bigint as duplicates_removed, count(*) filter (not sent)::bigint as removed_messages from f group by conv_id)
+select conv_id as handoff_id, 'sender' as sender, 'receiver' as receiver, original_tokens, redactions, duplicates_removed, 0::bigint as protected_messages, removed_messages, 0::bigint as summarizer_input_tokens, 0::bigint as summarizer_output_tokens, null::varchar as failure_code, null::varchar as failed_policy,
+ transmitted_tokens, 'passed' as status, greatest(original_tokens - transmitted_tokens, 0) as saved_tokens, round_even(greatest(original_tokens - transmitted_tokens, 0) * 100.0 / original_tokens, 1)::double as saved_percent, original_tokens - transmitted_tokens as net_saved_tokens from g""")
 def policy_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All policies in order, with the reports."""
     f = conversation_frames(spark, sf_dir)
     chain = [po.preserve(), redact(["api_key", "email", "phone"], keep_source=True), po.deduplicate(), po.select(roles=["user", "assistant"]), redact(["email"], stage="egress"), po.budget(800)]
-    return reports(f, run_policies(f, chain)).drop("events")
+    return reports(f, run_policies(f, chain)).drop("events").withColumn("saved_percent", F.col("saved_percent").cast("double"))
