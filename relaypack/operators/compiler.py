@@ -185,10 +185,14 @@ def compile_handoff(f: Frames, contract: Contract, cleanup: Sequence[Policy] = (
     return Compilation(packet, kept, budget, f)
 
 
-def compile_history(f: Frames, contract: Contract, cleanup: Sequence[Policy] = ()) -> tuple[Compilation, DataFrame]:
-    """Normalize first; source tokens are those of the history as it came."""
+#: Frames to frames with sections set, and a report.
+Normalizer = Callable[[Frames], tuple[Frames, DataFrame]]
+
+
+def compile_history(f: Frames, contract: Contract, cleanup: Sequence[Policy] = (), *, normalizer: Normalizer = normalize_frames) -> tuple[Compilation, DataFrame]:
+    """Normalize first, by rules or by any function of that shape; source tokens are those of the history as it came."""
     source = envelope_sizes(f).select("handoff_id", F.col("tokens").alias("source_tokens"))
-    n, told = normalize_frames(f)
+    n, told = normalizer(f)
     out = compile_handoff(n, contract, cleanup)
     return Compilation(out.packets, out.items, out.budget.drop("source_tokens").join(source, "handoff_id"), out.frames), told
 

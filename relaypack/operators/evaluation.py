@@ -97,20 +97,22 @@ def hash_rank(seed: str, key: str) -> Column:
 def stratified(rows: DataFrame, n: int, seed: str, *, key: str = "instance_id", one_per: str = "repo", strata: tuple[str, ...] = ("repo", "difficulty")) -> DataFrame:
     """A sample of n rows: one of each repo in hash order, then the strata by largest remainder, by hash inside.
 
-    Counts by stratum and one row a repo are all that is ordered globally.
+    Nothing is ordered globally but to take its first n; of the strata only sums go to the driver.
     """
     h = rows.withColumns({"_h": hash_rank(seed, key), "_rh": hash_rank(seed, one_per)})
-    firsts = h.withColumn("_n", F.row_number().over(Window.partitionBy(one_per).orderBy("_h"))).where("_n = 1")
-    firsts = firsts.withColumn("_o", F.row_number().over(Window.orderBy("_rh"))).where(F.col("_o") <= n).select(key)
+    firsts = h.groupBy(one_per, "_rh").agg(F.min_by(key, "_h").alias(key)).orderBy("_rh").limit(n).select(key)
     taken = firsts.count()
     rest = h.join(firsts, key, "left_anti")
     sizes = rest.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
-    left = max(0, n - taken)
-    whole = Window.partitionBy()
-    sizes = sizes.withColumn("total", F.sum("size").over(whole)).withColumns({"quota": F.expr(f"({left} * size) div total"), "over": F.expr(f"({left} * size) % total")})
-    sizes = sizes.withColumn("spare", F.lit(left) - F.sum("quota").over(whole)).withColumn("_o", F.row_number().over(Window.orderBy(F.desc("over"), *strata)))
-    sizes = sizes.select(*strata, (F.col("quota") + (F.col("_o") <= F.col("spare")).cast("int")).alias("quota"))
-    more = rest.join(F.broadcast(sizes), [*strata]).withColumn("_n", F.row_number().over(Window.partitionBy(*strata).orderBy("_h"))).where("_n <= quota").select(key)
+    total, left = sizes.agg(F.sum("size")).first()[0] or 0, max(0, n - taken)
+    if not total:
+        return rows.join(firsts, key, "left_semi")
+    sizes = sizes.withColumns({"quota": F.expr(f"({left} * size) div {total}"), "over": F.expr(f"({left} * size) % {total}")})
+    spare = left - (sizes.agg(F.sum("quota")).first()[0] or 0)  # below the number of strata, and no more than n
+    more_of = sizes.orderBy(F.desc("over"), *strata).limit(spare).select(*strata, F.lit(1).alias("one"))
+    same = [sizes[c].eqNullSafe(more_of[c]) for c in strata]
+    sizes = sizes.join(more_of, same, "left").select(*(sizes[c] for c in strata), (F.col("quota") + F.coalesce("one", F.lit(0))).alias("quota"))
+    more = rest.join(sizes, [*strata]).withColumn("_n", F.row_number().over(Window.partitionBy(*strata).orderBy("_h"))).where("_n <= quota").select(key)
     return rows.join(firsts.unionAll(more), key, "left_semi")
 
 
@@ -130,7 +132,17 @@ def cyclic(tasks: DataFrame, conditions: tuple[str, ...], place: str = "idx") ->
     return tasks.select("*", c).withColumn("turn", F.pmod(F.col("_i") - F.col(place), F.lit(len(conditions))).cast("int")).drop("_i")
 
 
+#: Probes that are broadcast at once: so many, of so many bytes.
+PROBES, PROBE_BYTES = 5_000, 8 << 20
+
+
 def retention(texts: DataFrame, probes: DataFrame, *, text: str = "text", probe: str = "probe") -> DataFrame:
-    """probe, n_texts: how many texts hold each probe. Probes are a configured list (broadcast, sized by its caller)."""
-    hit = texts.join(F.broadcast(probes), F.contains(F.col(text), F.col(probe)))
-    return probes.join(hit.groupBy(probe).agg(F.count(F.lit(1)).alias("n")), probe, "left").select(probe, F.coalesce("n", F.lit(0)).alias("n_texts"))
+    """probe, n_texts: how many texts hold each probe. Probes are a stated set against all texts, in blocks whose size is checked."""
+    n, size = probes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(probe)), F.lit(0))).first()
+    blocks = max(1, -(-n // PROBES), -(-size // PROBE_BYTES))
+    told = None
+    for b in range(blocks):
+        part = probes.where(F.pmod(F.xxhash64(probe), F.lit(blocks)) == b) if blocks > 1 else probes
+        hit = texts.join(F.broadcast(part), F.contains(F.col(text), F.col(probe))).groupBy(probe).agg(F.count(F.lit(1)).alias("n"))
+        told = hit if told is None else told.unionAll(hit)
+    return probes.join(told, probe, "left").select(probe, F.coalesce("n", F.lit(0)).alias("n_texts"))

@@ -123,6 +123,36 @@ def required_fields(fields: Iterable[str], kinds: Iterable[str] = ("structured",
     return _named(run, "schema", 25)
 
 
+def typed(ddl: str, kinds: Iterable[str] = ("structured",), *, normalize: bool = True) -> Policy:
+    """Objects of these kinds must have the fields of a schema (DDL; NOT NULL: required) in their types; other keys go when normalizing.
+
+    A field of another type, or a required one that isn't there, denies the handoff.
+    """
+    from pyspark.sql.types import StructType
+
+    kinds, shape = list(kinds), StructType.fromDDL(ddl)
+
+    def run(f: Frames) -> Frames:
+        mine = F.col("kind").isin(*kinds)
+        keys = F.when(F.col("content_type") == "object", F.json_object_keys("content"))
+        held = F.from_json("content", "map<string,variant>")
+        wrong = keys.isNull()
+        for x in shape.fields:
+            value = F.try_element_at(held, F.lit(x.name))
+            name = x.dataType.simpleString()
+            told = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+            right = {"string": told == "STRING", "boolean": told == "BOOLEAN", "bigint": told == "BIGINT", "int": told == "BIGINT", "double": told.rlike("^(BIGINT|DOUBLE|DECIMAL)")}.get(name, told.rlike("^ARRAY") if name.startswith("array") else told.rlike("^OBJECT"))
+            wrong = wrong | F.when(told == "VOID", not x.nullable).otherwise(~right)
+        m = f.messages.withColumn("_keys", F.when(mine, keys)).withColumn("_bad", mine & F.coalesce(wrong, F.lit(True)))
+        f = f.event("schema", "validated", m.where(mine).groupBy("handoff_id").agg(F.count(F.lit(1)).alias("count")))
+        bad = m.where("_bad")
+        if normalize:
+            m = m.withColumn("content", F.when(mine, keep_keys(F.col("content"), shape.names)).otherwise(F.col("content")))
+        return f.with_(messages=m.drop("_keys", "_bad")).deny("schema", "validation", bad)
+
+    return _named(run, "schema", 25)
+
+
 def keep_keys(content: Column, fields: list[str]) -> Column:
     """A JSON object with these keys only, in the order of the fields; values stay as they are written."""
     held = F.from_json(content, "map<string,string>")

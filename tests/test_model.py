@@ -3,8 +3,6 @@
 import json
 import random
 
-import pytest
-
 from relaypack.operators import model, policies
 from relaypack.operators.compiler import Contract
 from relaypack.operators.frames import frames
@@ -115,9 +113,7 @@ def test_brief_with_excerpts(spark):
     assert small.packets.first().packet_bytes <= 900 and [r.omitted for r in told.collect()] == [[3]]
 
 
-@pytest.mark.parametrize(
-    ("brief", "excerpts"),
-    [
+BROKEN = [
         ([(0, 0, "artifacts", "x", ["m0"], [0], "observed")], []),
         ([(0, 0, "decisions", " ", ["m0"], [0], "observed")], []),
         ([(0, 0, "decisions", "x", ["m0", "m0"], [0], "observed")], []),
@@ -131,8 +127,15 @@ def test_brief_with_excerpts(spark):
         ([(0, 0, "decisions", "x", ["m0"], [0], "observed")], [(0, 0, "m2", "evidence", 1, 1, False)]),
         ([(0, 0, "decisions", "x", ["m0"], [0], "observed")], [(0, 0, "a0", "evidence", None, None, False)]),
         ([(0, 0, "decisions", "x", ["m0"], [0], "observed")], [(0, 0, "m0", "evidence", 1, 2, False), (0, 1, "m0", "evidence", 1, 1, False)]),
-    ],
-)
-def test_broken_briefs_deny(spark, brief, excerpts):
-    out, _ = model.compile_brief(source(spark, 1), CONTRACT, composed(spark, brief, excerpts))
-    assert out.packets.collect() == [] and [r.code for r in out.frames.denials.collect()] == ["contract"]
+]
+
+
+def test_broken_briefs_deny(spark):
+    """Each case breaks one rule in a handoff of its own; the last handoff is sound."""
+    n = len(BROKEN)
+    sound = [(n, 0, "decisions", "x", ["m0"], [0], "observed")]
+    brief = [(h, *x[1:]) for h, (rows, _) in enumerate(BROKEN) for x in rows] + sound
+    excerpts = [(h, *x[1:]) for h, (_, rows) in enumerate(BROKEN) for x in rows]
+    out, _ = model.compile_brief(source(spark, n + 1), CONTRACT, composed(spark, brief, excerpts))
+    assert [r.handoff_id for r in out.packets.collect()] == [n]
+    assert sorted((r.handoff_id, r.code) for r in out.frames.denials.collect()) == [(h, "contract") for h in range(n)]
