@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from relaypack.functions import tokens as tk
 from relaypack.operators import packets
+from relaypack.operators.fit import fit_stream
 from relaypack.operators.frames import Frames, Policy, envelope_sizes
 from relaypack.operators.normalize import normalize_frames
 from relaypack.operators.shared import cut
@@ -72,55 +73,44 @@ def missing_required(f: Frames, contract: Contract) -> DataFrame:
     return out.withColumn("hints", F.transform("missing", hint))
 
 
-_OPTION = "struct<ord:int,pos:bigint,bytes:bigint>"
-_FIT = "struct<used:bigint,sec:int,kept:array<bigint>>"
 _PLACE = 1 << 40
 
 
-def verdict(f: Frames, contract: Contract) -> DataFrame:
-    """Per handoff: code (null if it compiles; rows of two sections don't), missing, used (bytes of base and required items), total, kept (places of preferred
-    items), omitted (by preferred section), omitted_count.
+def verdict(f: Frames, contract: Contract) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, kept).
 
-    One grouping of narrow rows decides all: presence, the required sum and the greedy fold.
+    Verdicts, a row a handoff: code (null if it compiles; rows of two sections don't), missing, used (bytes of base and required items), total,
+    omitted (by preferred section), omitted_count. ``kept``: handoff_id, pos of the preferred items that fit.
+
+    Everything is grouped sums over narrow rows and one pass over the preferred items in order, with a constant state: no handoff's items
+    are held together.
     """
-    items = items_of(f, contract)
-    by = items.groupBy("handoff_id").agg(
-        F.sum(F.when(F.col("required"), F.col("bytes"))).alias("need"), F.count_if("required").alias("n_need"), F.collect_set("section").alias("has"),
-        F.array_sort(F.collect_list(F.when(~F.col("required"), F.struct("ord", "pos", "bytes").cast(_OPTION)))).alias("xs"),
-    )
+    items = items_of(f, contract).select("handoff_id", "section", "ord", "pos", "bytes", "required")
+    by = items.groupBy("handoff_id").agg(F.sum(F.when(F.col("required"), F.col("bytes"))).alias("need"), F.count_if("required").alias("n_need"), F.collect_set("section").alias("has"))  # no more than there are sections
     base = f.live().select("handoff_id", tk.packet_base(F.col("sender"), F.col("receiver"), F.lit(contract.goal.strip())).cast("bigint").alias("base"))
-    none = F.array().cast("array<string>")
     double = f.messages.where(F.size(explicit_sections()) > 1).select("handoff_id", F.lit(True).alias("double")).distinct()
-    v = base.join(by, "handoff_id", "left").join(double, "handoff_id", "left").withColumns({"has": F.coalesce("has", none), "xs": F.coalesce("xs", F.array().cast(f"array<{_OPTION}>"))})
+    v = base.join(by, "handoff_id", "left").join(double, "handoff_id", "left").withColumn("has", F.coalesce("has", F.array().cast("array<string>")))
     need = F.array(*map(F.lit, contract.required)).cast("array<string>")
     n_sections = F.size(F.array_intersect("has", need))
     v = v.withColumns({"missing": F.array_except(need, F.col("has")), "used": (F.col("base") + F.coalesce("need", F.lit(0)) + F.coalesce("n_need", F.lit(0)) - n_sections).cast("bigint")})
     v = v.withColumn("code", F.when(F.coalesce("double", F.lit(False)) | (F.size("missing") > 0), "contract").when(F.col("used") > contract.max_bytes, "budget_exceeded"))
-
-    def step(a: Column, x: Column) -> Column:
-        total = a["used"] + x["bytes"] + F.when(a["sec"] == x["ord"], 1).otherwise(0)
-        return F.when(total <= contract.max_bytes, F.struct(total.alias("used"), x["ord"].alias("sec"), F.array_append(a["kept"], x["pos"]).alias("kept")).cast(_FIT)).otherwise(a)
-
-    begin = F.struct(F.col("used"), F.lit(-1).alias("sec"), F.array().cast("array<bigint>").alias("kept")).cast(_FIT)
-    v = v.withColumn("s", F.when(F.col("code").isNull(), F.aggregate("xs", begin, step)))
-    kept = F.coalesce("s.kept", F.array().cast("array<bigint>"))
-    counts = []
-    for i, section in enumerate(contract.preferred, len(contract.required)):
-        there = _count("xs", i)
-        taken = F.size(F.filter(kept, _of(i)))
-        counts.append(F.struct(F.lit(section).alias("section"), (there - taken).cast("bigint").alias("n"), there.alias("there")))
-    told = F.filter(F.array(*counts), lambda x: x["there"] > 0) if counts else F.array().cast("array<struct<section:string,n:bigint,there:int>>")
-    omitted = F.map_from_entries(F.transform(told, lambda x: F.struct(x["section"], x["n"])))
-    v = v.withColumns({"kept": kept, "omitted": omitted, "omitted_count": F.aggregate(told, F.lit(0).cast("bigint"), lambda a, x: a + x["n"]), "total": F.coalesce("s.used", "used")})
-    return v.select("handoff_id", "code", "missing", "used", "total", "kept", "omitted", "omitted_count")
-
-
-def _of(ordinal: int) -> Callable[[Column], Column]:
-    return lambda p: (p >= ordinal * _PLACE) & (p < (ordinal + 1) * _PLACE)
-
-
-def _count(column: str, ordinal: int) -> Column:
-    return F.size(F.filter(column, lambda x: x["ord"] == ordinal))
+    v = cut(v.select("handoff_id", "code", "missing", "used"), "needs")
+    if not contract.preferred:
+        none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+        zero = F.lit(0).cast("bigint")
+        return v.withColumns({"total": F.col("used"), "omitted": none, "omitted_count": zero}), v.where("false").select("handoff_id", zero.alias("pos"))
+    tried = cut(fit_stream(items.where("not required"), v.where("code is null").select("handoff_id", "used", F.lit(contract.max_bytes).alias("max_bytes"))), "tried")
+    took = F.col("kept")
+    counts = [(s, F.count_if(F.col("ord") == i), F.count_if((F.col("ord") == i) & took)) for i, s in enumerate(contract.preferred, len(contract.required))]
+    sums = tried.groupBy("handoff_id").agg(
+        F.sum(F.when(took, F.col("bytes")).otherwise(0)).alias("more"), F.count_if(took).alias("n"), F.count_distinct(F.when(took, F.col("ord"))).alias("n_ords"),
+        F.filter(F.array(*(F.struct(F.lit(s).alias("section"), (there - taken).alias("n"), there.alias("there")) for s, there, taken in counts)), lambda x: x["there"] > 0).alias("told"),
+    )
+    nothing = F.array().cast("array<struct<section:string,n:bigint,there:bigint>>")
+    v = v.join(sums, "handoff_id", "left").withColumn("told", F.coalesce("told", nothing))
+    total = F.col("used") + F.coalesce(F.col("more") + F.col("n") - F.col("n_ords"), F.lit(0))
+    v = v.select("handoff_id", "code", "missing", "used", total.cast("bigint").alias("total"), F.map_from_entries(F.transform("told", lambda x: F.struct(x["section"], x["n"]))).alias("omitted"), F.aggregate("told", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("omitted_count"))
+    return v, tried.where("kept").select("handoff_id", "pos")
 
 
 @dataclass(frozen=True)
@@ -131,17 +121,15 @@ class Compilation:
     frames: Frames
 
 
-def _kept(items: DataFrame, v: DataFrame) -> DataFrame:
+def _kept(items: DataFrame, v: DataFrame, some: DataFrame) -> DataFrame:
     """Items that a verdict keeps."""
-    fine = v.where("code is null")
-    some = fine.select("handoff_id", F.explode("kept").alias("pos"))
-    must = items.where("required").join(fine.select("handoff_id"), "handoff_id", "left_semi")
+    must = items.where("required").join(v.where("code is null").select("handoff_id"), "handoff_id", "left_semi")
     return must.unionByName(items.where("not required").join(some, ["handoff_id", "pos"], "left_semi"))
 
 
-def _keep(f: Frames, contract: Contract, v: DataFrame) -> Frames:
+def _keep(f: Frames, contract: Contract, v: DataFrame, kept: DataFrame) -> Frames:
     """Rows of the frames that a verdict keeps; handoffs with a code are denied."""
-    some = v.where("code is null").select("handoff_id", F.explode("kept").alias("_pos"))
+    some = kept.withColumnRenamed("pos", "_pos")
 
     def of(rows: DataFrame, section: Column, idx: str) -> DataFrame:
         rows = rows.withColumn("_ord", contract.ord(section)).withColumn("_pos", F.col("_ord").cast("long") * F.lit(_PLACE) + F.col(idx))
@@ -164,15 +152,16 @@ def compile_handoff(f: Frames, contract: Contract, cleanup: Sequence[Policy] = (
         raise ValueError("needs are for selection plans")
     source = envelope_sizes(f).select("handoff_id", F.col("tokens").alias("source_tokens"))
     f = f.with_(messages=classify(f.messages))
-    before = after = cut(verdict(f, contract), "verdict")
-    f = _keep(f, contract, before)
+    before, kept = verdict(f, contract)
+    after = before
+    f = _keep(f, contract, before, kept)
     for policy in cleanup:
         f = policy(f.next())
     if cleanup:
-        after = cut(verdict(f, contract), "verdict")
-        f = _keep(f, contract, after)
-    kept = _kept(items_of(f, contract), after)
-    packet = packets.render(f.live().withColumn("goal", F.lit(contract.goal.strip())), kept.select("handoff_id", "section", "pos", "item"))
+        after, kept = verdict(f, contract)
+        f = _keep(f, contract, after, kept)
+    items = _kept(items_of(f, contract), after, kept)
+    packet = packets.render(f.live().withColumn("goal", F.lit(contract.goal.strip())), items.select("handoff_id", "section", "pos", "item"))
     first = before.select("handoff_id", F.col("omitted").alias("omitted_before"), F.col("omitted_count").alias("n_before"))
     second = after.where("code is null").select("handoff_id", F.col("omitted").alias("omitted_after"), F.col("omitted_count").alias("n_after"), "used", "total")
     budget = source.join(first, "handoff_id").join(second, "handoff_id")
@@ -182,7 +171,7 @@ def compile_handoff(f: Frames, contract: Contract, cleanup: Sequence[Policy] = (
         F.lit(contract.max_tokens).alias("max_tokens"), F.greatest(F.lit(contract.max_tokens) - tk.tokens(F.col("total")), F.lit(0)).alias("remaining_tokens"), (F.col("n_before") + more).alias("omitted_count"),
     )
     f = f.event("receiver_contract", "compiled", budget.select("handoff_id", F.col("omitted_count").alias("count")))
-    return Compilation(packet, kept, budget, f)
+    return Compilation(packet, items, budget, f)
 
 
 #: Frames to frames with sections set, and a report.

@@ -109,9 +109,8 @@ def stratified(rows: DataFrame, n: int, seed: str, *, key: str = "instance_id",
         return rows.join(firsts, key, "left_semi")
     sizes = sizes.withColumns({"quota": F.expr(f"({left} * size) div {total}"), "over": F.expr(f"({left} * size) % {total}")})
     spare = left - (sizes.agg(F.sum("quota")).first()[0] or 0)  # below the number of strata, and no more than n
-    more_of = sizes.orderBy(F.desc("over"), *strata).limit(spare).select(*strata, F.lit(1).alias("one"))
-    same = [sizes[c].eqNullSafe(more_of[c]) for c in strata]
-    sizes = sizes.join(more_of, same, "left").select(*(sizes[c] for c in strata), (F.col("quota") + F.coalesce("one", F.lit(0))).alias("quota"))
+    more_of = sizes.orderBy(F.desc("over"), *strata).limit(spare).select(*(F.col(c).alias(f"_{c}") for c in strata), F.lit(1).alias("one"))
+    sizes = sizes.join(more_of, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in strata], "left").select(*strata, (F.col("quota") + F.coalesce("one", F.lit(0))).alias("quota"))
     more = rest.join(sizes, [*strata]).withColumn("_n", F.row_number().over(Window.partitionBy(*strata).orderBy("_h"))).where("_n <= quota").select(key)
     return rows.join(firsts.unionAll(more), key, "left_semi")
 

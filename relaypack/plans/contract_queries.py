@@ -98,7 +98,7 @@ select conv_id, section, n::bigint as omitted from o""")
 def omission_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _sectioned(spark, sf_dir)
     f = f.with_(messages=compiler.classify(f.messages))
-    v = compiler.verdict(f, CONTRACT).where("code is null")
+    v = compiler.verdict(f, CONTRACT)[0].where("code is null")
     return v.select(F.col("handoff_id").alias("conv_id"), F.explode("omitted").alias("section", "omitted"))
 
 
