@@ -32,6 +32,20 @@ def query(sql: str | None = None):
     return add
 
 
+#: Small cases on written-down rows, for the tests; the queries of their names run over tables.
+CASES: dict[str, Query] = {}
+CASE_SQL: dict[str, str] = {}
+
+
+def case(sql: str):
+    def add(f: Query) -> Query:
+        CASES[f.__name__] = f
+        CASE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 # ---- the greedy fit
 
 _FOLD = """select conv_id, unnest(s.kept)::bigint as turn from (
@@ -213,7 +227,7 @@ _SCOPED = """(1, 0, 'a', 'decisions', 'k', 't1'), (1, 1, 'b', 'decisions', 'k',
  (2, 0, 'a', 'pending_work', 'k', null), (2, 1, 'b', 'completed_work', 'k', null), (2, 2, 'c', 'pending_work', 'k', null), (3, 0, 'x', 'message', null, null), (3, 1, 'x', 'message', null, null)"""
 
 
-@query(f"""with v as (select * from (values {_SCOPED}) v(h, i, t, s, k, task) where task is null or task = 't1'),
+@case(f"""with v as (select * from (values {_SCOPED}) v(h, i, t, s, k, task) where task is null or task = 't1'),
 l as (select *, max(i) over (partition by h, task, s, k) as last, max(case when s = 'completed_work' then i end) over (partition by h, task, k) as done from v),
 a as (select * from l where k is null or (i = last and not (s = 'pending_work' and coalesce(done > i, false))))
 select h, i from (select h, i, row_number() over (partition by h, t, s, k, task order by i) as n from a) where n = 1""")
@@ -231,7 +245,7 @@ _HEADS = """('a', 'Decision: keep it'), ('b', '**TODO:** write tests'), ('c', '#
 _LABEL_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in TEXT_LABELS.items())
 
 
-@query(rf"""with t as (select id, regexp_replace(regexp_replace(trim(t), '^(?:[-*][ \t]+)?(?:#{{1,6}}[ \t]+)?', ''), '^\*\*\s*([^*:：]*?)\s*([:：]?)\s*\*\*', '\1\2') as t from (values {_HEADS}) v(id, t)),
+@case(rf"""with t as (select id, regexp_replace(regexp_replace(trim(t), '^(?:[-*][ \t]+)?(?:#{{1,6}}[ \t]+)?', ''), '^\*\*\s*([^*:：]*?)\s*([:：]?)\s*\*\*', '\1\2') as t from (values {_HEADS}) v(id, t)),
 p as (select id, lower(trim(regexp_extract(t, '^([^:：]*)[:：]', 1))) as label, trim(regexp_extract(t, '^[^:：]*[:：](.*)$', 1)) as body from t)
 select id, section, body from p join (values {_LABEL_ROWS}) l(label, section) using (label) where body <> ''""")
 def classify_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +257,7 @@ _DICTS = """('a', '{"Decision":"x","note":1}'), ('b', '{"to-do":"x","TODO":"y"}'
 _KEY_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in KEY_SECTIONS.items())
 
 
-@query(rf"""with k as (select id, unnest(json_keys(j)) as k from (select id, t::json as j from (values {_DICTS}) v(id, t)))
+@case(rf"""with k as (select id, unnest(json_keys(j)) as k from (select id, t::json as j from (values {_DICTS}) v(id, t)))
 select id, min(section) as section from (select id, trim(regexp_replace(lower(k), '[^a-z0-9]+', '_', 'g'), '_') as label from k) join (values {_KEY_ROWS}) l(label, section) using (label) group by id having count(distinct section) = 1""")
 def classify_dict_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = cl.structured_sections(F.col("t"))
@@ -261,7 +275,7 @@ _PARTS = """(0, 0, null, 'intro line'), (0, 1, 'decisions', E'use parquet\\nmore
  (2, 0, 'decisions', 'only one'), (3, 0, 'pending_work', '写测试'), (3, 1, 'completed_work', 'all'), (4, 0, null, 'TODO:'), (4, 1, 'decisions', 'x')"""
 
 
-@query(f"select * from (values {_PARTS}) v(h, part, section, content)")
+@case(f"select * from (values {_PARTS}) v(h, part, section, content)")
 def split_text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.createDataFrame(list(enumerate(_NOTES)), "h bigint, t string")
     m = text_messages(v, F.col("h"), F.lit(0), F.lit("user"), F.col("t"))
@@ -271,7 +285,7 @@ def split_text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OBJECTS = """(0, '{"evidence":"seen","note":"n","decision":{"b":1,"a":2},"more":[1]}'), (1, '{"decision":"x","note":1}')"""
 
 
-@query("""select * from (values (0, 0, 'evidence', 'text', 'seen'), (0, 1, 'decisions', 'object', '{"b":1,"a":2}'), (0, 2, null, 'object', '{"note":"n","more":[1]}'), (1, 0, 'decisions', 'object', '{"decision":"x","note":1}')) v(h, part, section, content_type, content)""")
+@case("""select * from (values (0, 0, 'evidence', 'text', 'seen'), (0, 1, 'decisions', 'object', '{"b":1,"a":2}'), (0, 2, null, 'object', '{"note":"n","more":[1]}'), (1, 0, 'decisions', 'object', '{"decision":"x","note":1}')) v(h, part, section, content_type, content)""")
 def split_dict_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = values(spark, _OBJECTS, "h, t")
     m = text_messages(v, F.col("h"), F.lit(0), F.lit("user"), F.col("t")).withColumn("content_type", F.lit("object"))
@@ -301,7 +315,7 @@ def compile_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOOLS = """(1, 0, 'a', true), (1, 1, 'a', false), (2, 0, 'a', false), (3, 0, 'a', true), (3, 1, 'a', true), (4, 0, 'a', true), (4, 1, 'a', false), (4, 2, 'a', false), (5, 0, 'a', true), (6, 0, null, true), (7, 0, 'a', true), (7, 1, 'b', true), (7, 2, 'b', false), (7, 3, 'a', false)"""
 
 
-@query(f"""with v as (select *, count(*) filter (c) over w as calls, count(*) filter (not c) over w as outs from (values {_TOOLS}) v(h, i, id, c) window w as (partition by h, id order by i rows between unbounded preceding and 1 preceding)),
+@case(f"""with v as (select *, count(*) filter (c) over w as calls, count(*) filter (not c) over w as outs from (values {_TOOLS}) v(h, i, id, c) window w as (partition by h, id order by i rows between unbounded preceding and 1 preceding)),
 e as (select h, i, case when id is null then 'missing_call_id' when c and calls > 0 then 'reused_call_id' when not c and calls = 0 then 'orphan_output' when not c and outs > 0 then 'duplicate_output' end as code from v),
 f as (select h, arg_min(code, i) as code from e where code is not null group by h),
 u as (select distinct h, 'unfinished_call' as code from (select h, id from (values {_TOOLS}) v(h, i, id, c) group by h, id having count(*) filter (not c) = 0) where h not in (select h from f))
@@ -311,12 +325,13 @@ def tool_pair_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.validate(v).select(F.col("handoff_id").alias("h"), "code")
 
 
-@query("""with old as (select source as h, lang as name, n_chars, doc_id from documents where doc_id % 2 = 0), new as (select source as h, lang as name, n_chars, doc_id from documents where doc_id % 2 = 1 and lang <> 'en'),
+@query("""with d as (select source as h, lang || length(text) % 7 as name, n_chars, doc_id, length(text) % 2 = 1 as fresh from documents), old as (select * from d where not fresh), new as (select * from d where fresh),
 u as (select h, name, n_chars, 0 as side, doc_id from old where (h, name) not in (select (h, name) from new) union all select h, name, n_chars, 1, doc_id from new)
 select h, name, n_chars, (row_number() over (partition by h order by side, doc_id) - 1)::int as art_idx from (select *, row_number() over (partition by h, name, n_chars order by side, doc_id) as n from u) where n = 1""")
 def artifact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("handoff_id"), F.col("doc_id").alias("art_idx"), F.col("lang").alias("name"), "n_chars")
-    out = packets.merge_artifacts(d.where("art_idx % 2 = 0"), d.where("art_idx % 2 = 1 and name <> 'en'"))
+    """Documents as artifacts of their source, those of even length inherited, the others current."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("handoff_id"), F.col("doc_id").alias("art_idx"), F.concat("lang", (F.length("text") % 7).cast("string")).alias("name"), "n_chars", (F.length("text") % 2 == 1).alias("fresh"))
+    out = packets.merge_artifacts(d.where("not fresh").drop("fresh"), d.where("fresh").drop("fresh"))
     return out.select(F.col("handoff_id").alias("h"), "name", "n_chars", "art_idx")
 
 

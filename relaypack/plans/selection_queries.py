@@ -31,6 +31,20 @@ def query(sql: str | None = None):
     return add
 
 
+#: Small cases on written-down rows, for the tests; the queries of their names run over tables.
+CASES: dict[str, Query] = {}
+CASE_SQL: dict[str, str] = {}
+
+
+def case(sql: str):
+    def add(f: Query) -> Query:
+        CASES[f.__name__] = f
+        CASE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 _LINES = "select conv_id, turn, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from conversations where not regexp_matches(text, '[\\x0b\\x0c\\r\\x1c-\\x1e\\x85\\x{2028}\\x{2029}]') and not contains(text, '```') and not contains(text, '~~~')"
 
 
@@ -53,7 +67,7 @@ def _listing_frames(spark: SparkSession):
     return frames(spark, heads, text_messages(v, F.col("h"), F.col("i"), F.col("r"), F.col("t")))
 
 
-@query("select * from (values ('m0.0', 0, ''), ('m0.1', 35, 'm0.0'), ('m0.2', 40, 'm0.0,m0.1'), ('m0.3', 20, 'm0.0,m0.1'), ('m1.0', 1, ''), ('m1.1', 1, '')) v(unit_id, n_lines, context)")
+@case("select * from (values ('m0.0', 0, ''), ('m0.1', 35, 'm0.0'), ('m0.2', 40, 'm0.0,m0.1'), ('m0.3', 20, 'm0.0,m0.1'), ('m1.0', 1, ''), ('m1.1', 1, '')) v(unit_id, n_lines, context)")
 def code_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A numbered listing of 95 lines: windows end at a near blank line and depend on the header and on the open block."""
     u = sp.source_units(_listing_frames(spark))
@@ -61,25 +75,25 @@ def code_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("unit_id", n.cast("int").alias("n_lines"), F.array_join("context", ",").alias("context"))
 
 
-@query("""with recursive e(u, c) as (select * from (values ('m0.1', 'm0.0'), ('m0.2', 'm0.0'), ('m0.2', 'm0.1'), ('m0.3', 'm0.0'), ('m0.3', 'm0.1')) v(u, c)),
+@case("""with recursive e(u, c) as (select * from (values ('m0.1', 'm0.0'), ('m0.2', 'm0.0'), ('m0.2', 'm0.1'), ('m0.3', 'm0.0'), ('m0.3', 'm0.1')) v(u, c)),
 n(u) as (select * from (values ('m0.0'), ('m0.1'), ('m0.2'), ('m0.3'), ('m1.0'), ('m1.1')) v(u)),
 r(u, c) as (select u, u from n union select r.u, e.c from r join e on e.u = r.c) select u as unit_id, c as needs from r""")
 def context_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.closure(sp.source_units(_listing_frames(spark))).select("unit_id", "needs")
 
 
-@query("""with s as (select conv_id, turn, sum(length(text)) over w - length(text) as start, sum(length(text)) over w as stop, text from conversations window w as (partition by conv_id order by turn)),
-k as (select * from s where turn % 3 <> 2), i as (select *, sum(case when lag is null or lag <> start then 1 else 0 end) over (partition by conv_id order by start, turn) as g from (select *, lag(stop) over (partition by conv_id order by start, stop, turn) as lag from k))
-select conv_id, min(start)::bigint as start, max(stop)::bigint as stop, md5(string_agg(text, '' order by start, stop)) as digest, list(turn order by start, stop) as turns from i group by conv_id, g""")
+@query("""with s as (select conv_id, turn, role, sum(length(text)) over w - length(text) as start, sum(length(text)) over w as stop, text from conversations window w as (partition by conv_id order by turn)),
+i as (select *, sum(case when lag is null or lag <> start then 1 else 0 end) over (partition by conv_id, role order by start, turn) as g from (select *, lag(stop) over (partition by conv_id, role order by start, stop, turn) as lag from s))
+select conv_id, role, min(start)::bigint as start, max(stop)::bigint as stop, md5(string_agg(text, '' order by start, stop)) as digest, list(turn order by start, stop) as turns from i group by conv_id, role, g""")
 def coalesce_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as spans of their conversation, every third one left out; adjacent ones become one."""
+    """Turns as spans of their conversation; adjacent ones of one role become one."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf_dir, "conversations").withColumn("end", F.sum(F.length("text")).over(w))
-    s = c.withColumns({"start": F.col("end") - F.length("text"), "handoff_id": F.col("conv_id"), "unit_id": F.col("turn"), "content": F.col("text")}).where("turn % 3 <> 2")
-    out = sp.coalesce(s, by=("handoff_id",))
-    return out.select(F.col("handoff_id").alias("conv_id"), F.col("start").cast("long"), F.col("end").cast("long").alias("stop"), F.md5("content").alias("digest"), F.col("source_ids").alias("turns"))
+    s = c.withColumns({"start": F.col("end") - F.length("text"), "handoff_id": F.col("conv_id"), "unit_id": F.col("turn"), "content": F.col("text")})
+    out = sp.coalesce(s, by=("handoff_id", "role"))
+    return out.select(F.col("handoff_id").alias("conv_id"), "role", F.col("start").cast("long"), F.col("end").cast("long").alias("stop"), F.md5("content").alias("digest"), F.col("source_ids").alias("turns"))
 
 
 _CONTRACT = Contract("g", ("decisions",), ("evidence", "artifacts"), 100, ("n0", "n1"))
@@ -88,7 +102,7 @@ _PLAN = """(1, 1, 'm1.0', 'decisions', true), (1, 2, 'm1.1', 'evidence', false),
 _COVER = "(1, 0, array('m1.0')), (1, 1, array('m1.1')), (7, 0, array('m1.0')), (8, 5, array('m1.0')), (9, 0, array('m1.1')), (9, 1, array('m1.0')), (10, 0, array('m1.0'))"
 
 
-@query("select * from (values (2, 'unknown_unit'), (3, 'repeated_unit'), (4, 'unrequested_section'), (5, 'wrong_origin'), (6, 'empty_plan'), (7, 'required_missing'), (8, 'bad_need'), (9, 'source_not_selected'), (10, 'need_uncovered')) v(h, code)")
+@case("select * from (values (2, 'unknown_unit'), (3, 'repeated_unit'), (4, 'unrequested_section'), (5, 'wrong_origin'), (6, 'empty_plan'), (7, 'required_missing'), (8, 'bad_need'), (9, 'source_not_selected'), (10, 'need_uncovered')) v(h, code)")
 def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selection plans that break one rule each; the first is sound."""
     plan = values(spark, _PLAN, "handoff_id, rank, unit_id, section, essential").withColumn("handoff_id", F.col("handoff_id").cast("long"))
@@ -111,7 +125,7 @@ def unselected_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("handoff_id").alias("conv_id"), F.col("unit_id").alias("turn"))
 
 
-@query("select * from (values ('m1.0', 'm1.0'), ('m0.0', 'm0.2'), ('m0.1', 'm0.2'), ('m0.2', 'm0.2'), ('m1.1', 'm1.1')) v(unit_id, via)")
+@case("select * from (values ('m1.0', 'm1.0'), ('m0.0', 'm0.2'), ('m0.1', 'm0.2'), ('m0.2', 'm0.2'), ('m1.1', 'm1.1')) v(unit_id, via)")
 def plan_fit_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Essentials first, then by rank what fits with all its context; what is shared is paid for once."""
     u = sp.source_units(_listing_frames(spark))
@@ -120,24 +134,6 @@ def plan_fit_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.fit_plan(plan, sp.closure(u), u.select("handoff_id", "unit_id", size.cast("long").alias("tokens")), 60).select("unit_id", "via")
 
 
-_WANTED = "(0, 1, 1), (0, 2, 3), (1, null, null), (2, 3, 2), (3, 1, 999999), (4, 1, 2), (4, 2, 4), (5, 1, null)"
-
-
-@query(f"""with d as (select doc_id, string_split(case when text like '%' || chr(10) then text[:-2] else text end, chr(10)) as ls, text from documents),
-w as (select w.*, coalesce(f, 1) as a, coalesce(l, len(ls)) as b, len(ls) as n, ls, text from (values {_WANTED}) w(doc_id, f, l) join d using (doc_id)),
-o as (select *, coalesce(max(b) over (partition by doc_id order by a, b rows between unbounded preceding and 1 preceding) >= a, false) as hit from w),
-c as (select *, case when (f is null) <> (l is null) then 'one_bound' when not (a >= 1 and b >= a and b <= n) then 'out_of_range' when trim(array_to_string(ls[a:b], '')) = '' then 'blank' when hit then 'overlap' end as code from o)
-select doc_id, a::int as first, b::int as last, code from c""")
-def excerpt_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line ranges of documents with the rule that each breaks."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 6")
-    m = text_messages(d, F.lit(1), F.col("doc_id"), F.lit("user"), F.col("text"))
-    src = se.whole_sources(m, spark.createDataFrame([], "handoff_id bigint, art_idx int, content_type string, content string"))
-    w = values(spark, _WANTED, "doc_id, first, last").select(F.lit(1).cast("long").alias("handoff_id"), F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("source_id"), "first", "last")
-    out = se.excerpts(w, src).join(src.select("source_id", "n_lines"), "source_id")
-    return out.select(F.substring("source_id", 2, 9).cast("long").alias("doc_id"), F.coalesce("first", F.lit(1)).cast("int").alias("first"), F.coalesce("last", "n_lines").cast("int").alias("last"), "code")
-
-
 _ENDS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -200,7 +196,7 @@ def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANSWERS = """(1, '{"a":1,"b":["x","y"]}', 'a', 'equals', '1'), (1, '{"a":1,"b":["x","y"]}', 'b', 'contains_all', '["y","x"]'), (2, '{"a":true}', 'a', 'equals', '1'), (3, '{"a":1,"a":1}', 'a', 'equals', '1'), (4, '{"a":NaN}', 'a', 'equals', '1'), (5, '{"c":1}', 'a', 'equals', '1'), (6, '{"a":{"b":[1,2]}}', 'a.b', 'equals', '[1,2]')"""
 
 
-@query("select * from (values (1, 2::bigint, 2::bigint, true), (2, 1, 0, false), (3, 1, 0, false), (4, 1, 0, false), (5, 1, 0, false), (6, 1, 1, true)) v(answer_id, n_checks, n_passed, success)")
+@case("select * from (values (1, 2::bigint, 2::bigint, true), (2, 1, 0, false), (3, 1, 0, false), (4, 1, 0, false), (5, 1, 0, false), (6, 1, 1, true)) v(answer_id, n_checks, n_passed, success)")
 def grade_equals_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.grade(values(spark, _ANSWERS, "answer_id, answer, check_path, operator, expected"))
 

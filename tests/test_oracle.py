@@ -11,6 +11,11 @@ def test_equals_sql(spark, sf_dir, name):
     assert of_spark(rq.QUERIES[name](spark, sf_dir)) == of_duckdb(rq.SQL[name], sf_dir)
 
 
+@pytest.mark.parametrize("name", sorted(rq.CASES))
+def test_cases_equal_sql(spark, sf_dir, name):
+    assert of_spark(rq.CASES[name](spark, sf_dir)) == of_duckdb(rq.CASE_SQL[name], sf_dir)
+
+
 @pytest.mark.parametrize("name", sorted(set(rq.QUERIES) - set(rq.SQL)))
 def test_runs(spark, sf_dir, name):
     assert rq.QUERIES[name](spark, sf_dir).count() > 0
