@@ -1,12 +1,12 @@
 """Licence scans by a trained paragraph classifier, in DataFrame operations only.
 
-A paragraph is a line of a text, or adjacent lines that hold a wrapped notice together (``spans``). Its features are the distinct word n-grams (one to three words) that hold an anchor, a word with a
-licence stem in it; multinomial logistic regression over these sparse features gives each licence family and an
+A paragraph is a line of a text, or adjacent lines that hold a wrapped notice together (``spans``). Its features are the distinct word n-grams (one to three words) that hold an anchor, a word that begins with a
+licence stem or is a licence's short name; multinomial logistic regression over these sparse features gives each licence family and an
 unknown class a probability, calibrated by a temperature fitted on held-out paragraphs. A prediction counts if its
 probability reaches ``LEAST`` and the paragraph covers ``COVER`` of the n-grams of one of the family's templates.
 
-The model is fitted on the driver from the templates below, their variations and counter-examples: a fixed, bounded
-set. Its weights (under a thousand rows) and the templates' n-grams are broadcast. A line without a stem has no feature,
+The model is fitted on the driver from the sentences of ``license_texts``, their variations and counter-examples: a fixed, bounded
+set of 34 families, with notices of made-up licences as unknown. Its weights (some thousand rows) and the templates' n-grams are broadcast. A line without a stem has no feature,
 so leaving it out early changes nothing. Texts are never moved: only lines with features are exploded, and sums are
 partial before they are shuffled by document and line.
 
@@ -26,32 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaypack.llm.common import materialize
+from relaypack.llm.license_texts import NEGATIVES, TEMPLATES
 
 UNKNOWN = "unknown"
 LEAST, COVER = 0.6, 0.5
-STEMS = ("licen", "copyright", "copyleft", "gnu", "gpl", "apache", "mozilla", "mpl", "creative", "commons", "cc", "by-nc", "by-sa", "bsd", "redistribut", "warrant", "permission", "public", "reserved", "spdx", "mit", "proprietary", "confidential", "unlicense")
+#: An anchor has a part (between hyphens, stops and plus signs) that begins with one of these, or is one of the words.
+STEMS = ("licen", "copyright", "copyleft", "apache", "mozilla", "creative", "commons", "redistribut", "warrant", "permission", "permitted", "reserved", "spdx", "proprietary", "confidential", "unlicen", "eclipse", "boost", "artistic", "postgresql", "affero", "cecill", "wtfpl", "agreement", "unencumbered", "illinois")
+WORDS = ("public", "gnu", "gpl", "lgpl", "agpl", "gplv2", "gplv3", "lgplv3", "agplv3", "mpl", "epl", "eupl", "bsd", "mit", "isc", "cc", "cc0", "cddl", "sspl", "zlib", "ofl", "psf", "by-nc", "by-sa", "by-nd", "by-nc-sa", "domain")
 TOKEN = "[a-z0-9](?:[a-z0-9.+-]*[a-z0-9])?"
 
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "AGPL": ("Licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-only", "Released under the AGPL."),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license.", "This project is available under the Apache License 2.0."),
-    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the 3-clause BSD license.", "Use of this source code is governed by a BSD-style license."),
-    "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0", "Available under the Creative Commons Attribution License."),
-    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Licensed under CC BY-NC-SA 4.0.", "Released under CC-BY-NC."),
-    "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "Text is available under the Creative Commons Attribution-ShareAlike License."),
-    "GPL": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GPL v2.", "Licensed under the GNU GPL version 2.", "You should have received a copy of the GNU General Public License along with this program"),
-    "LGPL": ("Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-only", "Released under the LGPL."),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT", "Licensed under the MIT license.", "The MIT License (MIT)", "Distributed under the terms of the MIT license."),
-    "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License 2.0.", "Released under the MPL 2.0."),
-    "Proprietary": ("All rights reserved.", "Copyright 2020 Example Corp. All rights reserved.", "This software is proprietary and confidential.", "Unauthorized copying of this file is strictly prohibited, proprietary and confidential."),
-    "Public-Domain": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: CC0-1.0", "This work is dedicated to the public domain under CC0.", "SPDX-License-Identifier: Unlicense", "Released into the public domain."),
-}
-NEGATIVES = (
-    "He renewed his driving license at the public office last week.", "The license plate of the car was found near the river.", "She asked for permission to enter the public garden.", "Students at MIT met in the commons of the building.",
-    "The Apache helicopter flew over the valley.", "An Apache web server was installed on the machine.", "The copyright dispute went to court.", "A warranty of two years covers the engine.", "The police had a warrant for the house.", "They are creative people with public support.",
-    "The committee will permit no license to operate.", "The table was reserved for two.", "GNU tools were used to build it.", "Mozilla announced a new browser.", "The accident occurred on a public road.", "Redistribution of wealth is a public issue.", "A creative writing course in the house of commons.",
-    "The pilot lost the license for a year.", "Confidential sources told the public.", "All seats are reserved for members.", "The restaurant has a liquor license.", "We accept success according to public account.", "A BSD system was running in the lab.", "The licensing board met in public.",
-)
 #: Words after its first line up to which a wrapped notice is read: twice those of the longest template.
 REACH = 2 * max(len(re.findall(TOKEN, t.lower())) for ts in TEMPLATES.values() for t in ts)
 _FILL = "the a of and to in it was for on with as at by from this that new data project file text page work example team year version".split()
@@ -61,6 +44,12 @@ def tokens(text: str) -> list[str]:
     return re.findall(TOKEN, text.lower())
 
 
+@lru_cache(maxsize=1 << 16)
+def is_anchor(word: str) -> bool:
+    parts = re.split("[.+-]+", word)
+    return word in WORDS or any(p in WORDS or p.startswith(STEMS) for p in parts)
+
+
 def grams(text: str) -> set[str]:
     """The features of a paragraph: its n-grams of one to three words that hold an anchor."""
     t = tokens(text)
@@ -68,7 +57,7 @@ def grams(text: str) -> set[str]:
     for n in (1, 2, 3):
         for i in range(len(t) - n + 1):
             part = t[i : i + n]
-            if any(s in w for w in part for s in STEMS):
+            if any(map(is_anchor, part)):
                 out.add(" ".join(part))
     return out
 
@@ -95,7 +84,7 @@ def _vary(r: random.Random, text: str) -> str:
 def anchor_words(m: Model) -> list[str]:
     """All words with a stem that a feature of the model or a template holds."""
     known = {w for g in m.weights for w in g.split()} | {w for ts in TEMPLATES.values() for t in ts for w in tokens(t)}
-    return sorted(w for w in known if any(s in w for s in STEMS))
+    return sorted(filter(is_anchor, known))
 
 
 @lru_cache(maxsize=1)
@@ -106,7 +95,9 @@ def fit(seed: int = 5, each: int = 60) -> Model:
     data: list[tuple[set[str], int]] = []
     for i, f in enumerate(families[:-1]):
         for t in TEMPLATES[f]:
-            data += [(grams(t), i)] + [(grams(_vary(r, t)), i) for _ in range(each)]
+            own = grams(t)
+            varied = [g for g in (grams(_vary(r, t)) for _ in range(each)) if len(g & own) >= COVER * len(own)]  # less could not be confirmed
+            data += [(own, i)] + [(g, i) for g in varied]
     data += [(grams(_vary(r, t)), len(families) - 1) for t in NEGATIVES for _ in range(each)]
     data += [(grams(" ".join(r.choices(_FILL + [w for t in NEGATIVES for w in t.split()], k=12))), len(families) - 1) for _ in range(20 * each)]
     r.shuffle(data)
@@ -124,7 +115,7 @@ def fit(seed: int = 5, each: int = 60) -> Model:
     w, b = np.zeros((len(names), len(families)), np.float32), np.zeros(len(families), np.float32)
     b[-1] = 2.0
     vw, vb = np.zeros_like(w), np.zeros_like(b)
-    for _ in range(200):
+    for _ in range(600):
         z = xt @ w + b
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
@@ -144,10 +135,11 @@ def fit(seed: int = 5, each: int = 60) -> Model:
 
 
 def _stem(col: Column) -> Column:
+    """Whether a lower-cased text may hold an anchor."""
     out = col.contains(STEMS[0])
     for s in STEMS[1:]:
         out = out | col.contains(s)
-    return out
+    return out | col.rlike(r"(?<![a-z0-9])(?:" + "|".join(WORDS) + ")(?![a-z0-9])")
 
 
 def _ngrams(t: Column, places: Column) -> Column:
@@ -177,12 +169,10 @@ def _judged(spark: SparkSession, found: DataFrame, keys: list[str], m: Model) ->
     k = len(m.families)
     weights = F.broadcast(spark.createDataFrame([(g, *w) for g, w in m.weights.items()], "gram string, " + ", ".join(f"w{i} double" for i in range(k))))
     scored = found.join(weights, "gram").groupBy(*keys).agg(*(F.sum(f"w{i}").alias(f"s{i}") for i in range(k)))
-    z = [(F.col(f"s{i}") + m.bias[i]) / m.temperature for i in range(k)]
-    top = F.greatest(*z)
-    total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
-    best = F.lit(UNKNOWN)
-    for i in range(k - 1, -1, -1):
-        best = F.when(z[i] == top, m.families[i]).otherwise(best)
+    z = F.array(*((F.col(f"s{i}") + m.bias[i]) / m.temperature for i in range(k)))
+    scored = scored.select(*keys, z.alias("z")).withColumn("top", F.array_max("z"))
+    total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    best = F.element_at(F.array(*map(F.lit, m.families)), F.array_position("z", F.col("top")).cast("int"))  # the first of equal ones
     scored = scored.select(*keys, best.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
     sets = [(f, f"{f}/{i}", g, len(grams(t))) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for g in sorted(grams(t))]
     template = F.broadcast(spark.createDataFrame(sets, "family string, template string, gram string, size int"))

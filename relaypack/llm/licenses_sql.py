@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from relaypack.llm.licenses import COVER, LEAST, TEMPLATES, TOKEN, UNKNOWN, fit, grams
+from relaypack.llm.license_texts import TEMPLATES
+from relaypack.llm.licenses import COVER, LEAST, TOKEN, UNKNOWN, fit, grams
 
 
 def _text(x: str) -> str:
