@@ -10,12 +10,12 @@ compared, never blocks:
    or more.
 3. Each block sends the windows whose cells all count two or more, with the least id that has them, by hash range.
 4. Equal windows are grouped; blocks learn which of theirs start in a smaller document elsewhere. Windows are told apart by
-   128-bit hashes, not by their words: two of 10**13 different ones (100 TB) agree with a chance below 1e-12.
+   112-bit hashes, not by their words: two of 10**13 different ones (100 TB) agree with a chance of about 1e-8.
 5. Each block marks the covered words and joins what is left.
 
 A window is sent once per block, however often it occurs, so a passage in a third of all documents is no hot key;
 nothing is broadcast or collected. A sketch and a group of windows hold what one block-sized range holds. A task takes
-about 25 times its block's bytes: 50 MB for 2 MB blocks.
+about 25 times its block's bytes: 100 MB for 4 MB blocks.
 
 Nulls: a null text has no words. A null id counts as larger than all others. Rows of equal id don't remove each
 other's words. Texts of fewer words than a window stay whole. Windows are
@@ -41,7 +41,7 @@ from relaypack.llm.common import text_bytes
 WINDOW = 13
 BLOCK = "__relaypack_block"
 #: Least bytes of a block, and bytes of what a block sends to a range at least: blocks and ranges meet pairwise.
-BLOCK_BYTES, SENT_BYTES = 2 << 20, 1400
+BLOCK_BYTES, SENT_BYTES = 4 << 20, 1400
 PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -227,6 +227,19 @@ def _in(cells: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == cells
 
 
+def _short(v: np.ndarray) -> np.ndarray:
+    """48 bits of a second hash; with the 64 of the first, a window's name."""
+    return v >> np.uint64(16)
+
+
+def _halves(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return v.astype(np.uint32), (v >> np.uint64(32)).astype(np.uint16)
+
+
+def _whole(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return hi.astype(np.uint64) << np.uint64(32) | lo
+
+
 def _exact(width: int, bits: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A block's windows that the sketch estimates at two or more, with the least id that has them."""
 
@@ -244,7 +257,7 @@ def _exact(width: int, bits: int, shards: int) -> Callable[[pa.Table, pa.Table],
                 cells = np.concatenate([np.cumsum(unpack(p, np.uint64)[0], dtype=np.uint64) for _, p in sorted(parts)] or [np.empty(0, np.uint64)])
                 live = np.flatnonzero(ok)
                 ok[live] = _in(_cell(w[live], row, bits), cells)
-            w, v, ids = w[ok], v[ok], b.ids[doc[ok]]
+            w, v, ids = w[ok], _short(v[ok]), b.ids[doc[ok]]
             order = np.lexsort((ids, v, w))
             w, v, ids = w[order], v[order], ids[order]
             at = _runs(w, v)
@@ -254,7 +267,7 @@ def _exact(width: int, bits: int, shards: int) -> Callable[[pa.Table, pa.Table],
                 k = slice(bound[s], bound[s + 1])
                 if bound[s] < bound[s + 1]:
                     shard.append(s)
-                    payload.append(pack(_differ(w[k]), v[k], ids[k]))
+                    payload.append(pack(_differ(w[k]), *_halves(v[k]), ids[k]))
         return pa.table({"shard": pa.array(shard, pa.int64()), "block": pa.array([block] * len(shard), pa.int64()), "payload": pa.array(payload, pa.binary())})
 
     return run
@@ -264,9 +277,9 @@ def _least(table: pa.Table) -> pa.Table:
     """Equal windows of all blocks: to each block those that start in a smaller document elsewhere."""
     blocks, ws, vs, idss = table.column("block").to_pylist(), [], [], []
     for data in table.column("payload"):
-        d, v, ids = unpack(data.as_py(), np.uint64, np.uint64, np.int64)
+        d, lo, hi, ids = unpack(data.as_py(), np.uint64, np.uint32, np.uint16, np.int64)
         ws.append(np.cumsum(d, dtype=np.uint64))
-        vs.append(v)
+        vs.append(_whole(lo, hi))
         idss.append(ids)
     w, v, ids = np.concatenate(ws), np.concatenate(vs), np.concatenate(idss)
     order = np.lexsort((ids, v, w))
@@ -279,7 +292,7 @@ def _least(table: pa.Table) -> pa.Table:
         m = elsewhere[k : k + len(p)]
         if m.any():
             to.append(block)
-            out.append(pack(_differ(p[m]), v[k : k + len(p)][m]))
+            out.append(pack(_differ(p[m]), *_halves(v[k : k + len(p)][m])))
         k += len(p)
     return pa.table({"block": pa.array(to, pa.int64()), "payload": pa.array(out, pa.binary())})
 
@@ -287,16 +300,17 @@ def _least(table: pa.Table) -> pa.Table:
 def _covered(b: Block, found: pa.Table, width: int) -> np.ndarray:
     """Which words go."""
     at, doc, (w, v) = b.windows(width)
+    v = _short(v)
     gone = np.zeros(len(w), bool)
     # windows that start in a smaller document of this block
     order = np.lexsort((doc, v, w))
     sw, sv, ids = w[order], v[order], b.ids[doc[order]]
     run = _runs(sw, sv)
     gone[order] = np.repeat(ids[run] if len(run) else ids, np.diff(np.r_[run, len(w)])) < ids
-    parts = [unpack(p, np.uint64, np.uint64) for p in found.column("payload").to_pylist()]
+    parts = [unpack(p, np.uint64, np.uint32, np.uint16) for p in found.column("payload").to_pylist()]
     if parts:
-        fw = np.concatenate([np.cumsum(d, dtype=np.uint64) for d, _ in parts])
-        fv = np.concatenate([x for _, x in parts])
+        fw = np.concatenate([np.cumsum(d, dtype=np.uint64) for d, _, _ in parts])
+        fv = np.concatenate([_whole(lo, hi) for _, lo, hi in parts])
         maybe = np.flatnonzero(_in(w, np.sort(fw)) & ~gone)
         # both halves: ranks of the pairs among the found ones
         key = np.rec.fromarrays([np.r_[fw, w[maybe]], np.r_[fv, v[maybe]]])
@@ -355,7 +369,7 @@ def dedup(spark: SparkSession, docs: DataFrame, *, width: int = WINDOW, block_by
 
     Texts that lose no word stay as they are. ``block_bytes`` bounds what a task holds, but for one longer text. Blocks and ranges
     meet pairwise, as the map and reduce sides of any exchange do, so what one sends another is held at ``SENT_BYTES`` or more and
-    blocks grow with the root of the corpus: 2 MB up to 3 GB of text, 37 MB for 1 TB, 374 MB for 100 TB. Results don't depend on it.
+    blocks grow with the root of the corpus: 4 MB up to 12 GB of text, 37 MB for 1 TB, 374 MB for 100 TB. Results don't depend on it.
     """
     total = docs.agg(F.sum(text_bytes())).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
