@@ -165,3 +165,12 @@ def read_range(lines: DataFrame, path: str, first: int, last: int) -> DataFrame:
 
 def paths(lines: DataFrame, prefix: str = "", *, limit: int = 250) -> DataFrame:
     return lines.where(F.startswith(F.col("path"), F.lit(prefix))).select("path").distinct().orderBy("path").limit(limit)
+
+
+def tail(text, most: int = 16_000):
+    """The last bytes of a text, ``most`` at most, from the beginning of a character on."""
+    raw = F.encode(text, "UTF-8")
+    cut = F.substring(raw, F.greatest(F.octet_length(text) - most + 1, F.lit(1)), F.lit(most))
+    # a character that was cut leaves up to three bytes of its rest
+    whole = F.regexp_replace(F.hex(cut), "^(?:[89AB][0-9A-F]){1,3}", "")
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.unhex(whole), "UTF-8"))
