@@ -91,13 +91,12 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[float, ...] = (5
     sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("tie"), u.alias("u"), F.monotonically_increasing_id().alias("row"))
     sized = materialize(spark, sized.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(-1).cast("int")), "sizes")
     classes = materialize(spark, sized.groupBy("source", "class").agg(F.sum("size").alias("n")), "classes")
-    goals = materialize(spark, targets(spark, classes.groupBy("source").agg(F.sum("n").alias("n")), weights, share, most), "targets")
+    goals = targets(spark, classes.groupBy("source").agg(F.sum("n").alias("n")), weights, share, most)
     few = goals.count() <= FEW
     held = classes.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     expected = copies(held, most, length_tilt).withColumn("whole", F.floor("e").cast("int"))
     rest = F.col("target") - F.sum(F.col("whole") * F.col("n")).over(Window.partitionBy("source"))
     plan = expected.select(F.col("source").alias("s"), F.col("class").alias("c"), "source_size", "target", "whole", (F.col("e") - F.col("whole")).alias("p"), rest.alias("rest"))
-    plan = materialize(spark, plan, "plan")
     known = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).drop("s", "c")
     # x = rank / (1 + rank) lies in (0, 1) and is as the rank in order
     odds, inclusion = F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p"))
