@@ -20,10 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relaypack.llm.common import text_slices
+
 NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words kept per Python worker; the cache is emptied beyond it and fills again.
 CACHE_WORDS = 500_000
+#: Bytes of text that are encoded at once.
+PART = 1 << 21
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -197,31 +201,15 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def slices(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters."""
-    part: list[str] = []
-    size = 0
-    for text in texts:
-        part.append(text)
-        size += len(text)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def encode_column(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids BINARY of little-endian uint32, decoded BINARY) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
-            at = 0
-            for part in slices([x or "" for x in batch.column(1).to_pylist()]):
+            for at, part in text_slices(batch.column(1), PART):
                 ids = list(enc.encode(part))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(ids, pa.binary()), pa.array([enc.decode(x) for x in ids], pa.binary())], ["k", "ids", "decoded"])
-                at += len(part)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids binary, decoded binary").withColumnRenamed("k", key)
@@ -233,14 +221,12 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
-            at = 0
-            for part in slices([x or "" for x in batch.column(1).to_pylist()]):
+            for at, part in text_slices(batch.column(1), PART):
                 n, a, b = [], [], []
                 for ids in enc.encode(part):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(enc.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                at += len(part)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

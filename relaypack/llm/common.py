@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +44,14 @@ def text_bytes(col: str = "text") -> Column:
 
 def blocks_for(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
+
+
+def text_slices(texts, most: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of an Arrow column in runs of about ``most`` bytes, null as empty: only a run's texts are Python objects at once."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = size[at - 1] if at else 0
+        end = min(len(texts), int(np.searchsorted(size, before + most)) + 1)
+        yield at, [x or "" for x in texts.slice(at, end - at).to_pylist()]
+        at = end

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relaypack.llm.common import materialize
+from relaypack.llm.common import materialize, text_slices
 from relaypack.llm.html_density import visible_text
 
 SAMPLE = 500
@@ -41,9 +41,9 @@ DECLARED = 0.9
 HOST_WEIGHT, SUFFIX_WEIGHT, COUNTRY_WEIGHT = 10.0, 50.0, 5.0
 UNKNOWN = "und"
 UNKNOWN_PRIOR = 0.01
-PART = 1 << 20
+PART = 1 << 18
 #: Model entries gathered at once.
-CELLS = 1 << 22
+CELLS = 1 << 20
 COUNTRY = {"fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "ar": "es", "co": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "se": "sv", "dk": "da", "no": "no", "fi": "fi", "gr": "el", "cz": "cs", "tr": "tr", "kr": "ko"}
 _LETTER = np.full(256, 0x20, np.uint32)
 _LETTER[ord("a") : ord("z") + 1] = range(ord("a"), ord("z") + 1)
@@ -62,18 +62,6 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.cumsum(size) - size
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    at, size, part = 0, 0, []
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= PART:
-            yield at, part
-            at, size, part = at + len(part), 0, []
-    if part:
-        yield at, part
-
-
 def _packed(counts: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(counts, "<i8").tobytes(), 1)
 
@@ -157,7 +145,7 @@ def likelihoods(rows: DataFrame, languages: list[str], model: np.ndarray) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for at, part in slices([x or "" for x in batch.column(4).to_pylist()]):
+            for at, part in text_slices(batch.column(4), PART):
                 bucket, start = trigrams(part)
                 total = _sums(model, bucket, start)
                 n = np.add.reduceat((bucket < 1 << BITS).astype(np.int64), start)
