@@ -15,6 +15,7 @@ from relaypack.operators import spans as sp
 from relaypack.operators.compiler import Contract
 from relaypack.operators.frames import Frames, frames, text_messages
 from relaypack.operators.redact import pattern_chain, redact, redact_text
+from relaypack.operators.shared import cut
 from relaypack.plans.common import conversation_frames, table
 from relaypack.plans.text_queries import Query
 
@@ -170,8 +171,8 @@ def _listings(spark: SparkSession, sf_dir: str) -> Frames:
     line = lambda w: F.when(n(w) % 7 == 0, "").otherwise(F.concat(F.repeat(F.lit(" "), (n(w) % 3 * 2).cast("int")), F.when(n(w) % 5 == 0, "if x:").otherwise("y")))
     rows = d.select("doc_id", words.alias("ws")).where("size(ws) > 0")
     text = F.concat(F.format_string("File: a.py (%d lines)\n", F.size("ws")), F.array_join(F.transform("ws", lambda w, i: F.concat((i + 1).cast("string"), F.lit(": "), line(w))), "\n"))
-    m = text_messages(rows.withColumn("t", text), F.col("doc_id"), F.lit(0), F.lit("tool"), F.col("t"))
-    return frames(spark, _heads(rows.select(F.col("doc_id").alias("handoff_id"))), m)
+    made = cut(rows.select("doc_id", text.alias("t")), "listings")  # every reader would make the texts anew
+    return frames(spark, _heads(made.select(F.col("doc_id").alias("handoff_id"))), text_messages(made, F.col("doc_id"), F.lit(0), F.lit("tool"), F.col("t")))
 
 
 _WINDOWS = r"""w0 as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as k, len(ws) as n from (select doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') as ws from documents where doc_id is not null)),
