@@ -1,5 +1,7 @@
 """Plans that do each step once, so that their cost grows with the input only."""
 
+import random
+
 from relaypack.operators import spans
 from relaypack.operators.frames import frames, text_messages
 from pyspark.sql import functions as F
@@ -25,6 +27,11 @@ def test_listings_are_cut_once(spark):
     assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
 
 
+def test_closure_computes_its_units_once(spark):
+    plan = _plan(spans.closure(_units(spark, ["x"])))
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan  # the listings and the closure itself
+
+
 def test_broken_listings_are_tiled_as_other_texts(spark):
     texts = [_listing(["a", "b"]) + "\n9: x\n", _listing(["a"]) + "\n```\n\n x\n```\n \n é", _listing(["if x:", "  y"], "\r\n"), _listing(["if x:", "  y\x0b9: z"])]
     got = {}
@@ -36,3 +43,16 @@ def test_broken_listings_are_tiled_as_other_texts(spark):
     for r in spans.text_spans(m).select("handoff_id", "_s.*").orderBy("handoff_id", "part").collect():
         tiled.setdefault(r.handoff_id, []).append(r.content)
     assert got[1] == tiled[1] and got[0] == [texts[0][:21], texts[0][21:]] and got[2] == [texts[2][:21], texts[2][21:]]
+
+
+def test_closure_of_a_long_chain(spark):
+    r = random.Random(5)
+    ids = [f"u{i}" for i in range(300)]
+    context = {u: sorted({ids[i - 1], *r.sample(ids[:i], min(i, 2))}) if i and i % 50 else [] for i, u in enumerate(ids)}
+    rows = [(h, "m", 0, u, context[u]) for h in (1, 2) for u in ids] + [(3, "m", k, "p", []) for k in range(2)]
+    df = spark.createDataFrame(rows, "handoff_id bigint, origin string, idx int, unit_id string, context array<string>").repartition(5)
+    need = {}
+    for u in ids:
+        need[u] = {u}.union(*(need[c] for c in context[u]))
+    want = sorted([(h, u, n) for h in (1, 2) for u in ids for n in need[u]] + [(3, "p", "p")] * 2)
+    assert sorted(map(tuple, spans.closure(df).collect())) == want
