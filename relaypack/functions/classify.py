@@ -8,11 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from relaypack.functions.patterns import HINT_KEYS, KEY_SECTIONS, LINE_END, TEXT_LABELS, TOOL_KINDS
-from relaypack.functions.text import normal_key, strip
+from relaypack.functions.text import let, normal_key, strip
 
 _LABELS = "|".join(re.escape(x).replace("\\ ", " ") for x in sorted(TEXT_LABELS, key=lambda x: (-len(x), x)))
 _MARKS = r"^(?:[-*][ \t]+)?(?:#{1,6}[ \t]+)?"
 _PLAIN = rf"(?isU)^({_LABELS})\s*[:：]\s*(.*)$"
+_LABELLED = rf"(?isU)^({_LABELS})\s*[:：]"
 _BOLD = rf"(?isU)^\*\*\s*({_LABELS})\s*[:：]?\s*\*\*(.*)$"
 
 
@@ -20,27 +21,35 @@ def _map(d: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in d.items() for x in pair))
 
 
-def heading(text: Column) -> tuple[Column, Column]:
-    """(section, body) of a text that begins with a label and a colon, else nulls.
+def heading(text: Column) -> Column:
+    """struct(section, body) of a text that begins with a label and a colon, else of nulls.
 
     A list or heading mark before and a balanced bold mark around the label are allowed.
     """
-    t = F.regexp_replace(strip(text), _MARKS, "")
-    # a bold label, with or without its colon, is read as the plain one
-    rest = F.regexp_extract(t, _BOLD, 2)
-    inner_colon = t.rlike(rf"(?isU)^\*\*\s*(?:{_LABELS})\s*[:：]\s*\*\*")
-    bold = t.rlike(_BOLD)
-    flat = F.when(bold & inner_colon, F.concat(F.regexp_extract(t, _BOLD, 1), F.lit(":"), rest)).when(bold, F.concat(F.regexp_extract(t, _BOLD, 1), rest)).otherwise(t)
-    label = F.lower(F.regexp_extract(flat, _PLAIN, 1))
-    section = F.when(label != "", F.element_at(_map(TEXT_LABELS), label))
-    return section, F.when(section.isNotNull(), strip(F.regexp_extract(flat, _PLAIN, 2)))
+
+    def flat(t: Column) -> Column:
+        # a bold label, with or without its colon, is read as the plain one
+        rest = F.regexp_extract(t, _BOLD, 2)
+        colon = F.when(t.rlike(rf"(?isU)^\*\*\s*(?:{_LABELS})\s*[:：]\s*\*\*"), ":").otherwise("")
+        return F.when(t.startswith("**") & t.rlike(_BOLD), F.concat(F.regexp_extract(t, _BOLD, 1), colon, rest)).otherwise(t)
+
+    def read(t: Column) -> Column:
+        section = F.try_element_at(_map(TEXT_LABELS), F.lower(F.regexp_extract(t, _LABELLED, 1)))
+        return let(section, lambda s: F.struct(s.alias("section"), F.when(s.isNotNull(), strip(F.regexp_extract(t, _PLAIN, 2))).alias("body")))
+
+    return let(F.regexp_replace(strip(text), _MARKS, ""), lambda t: let(flat(t), read))
+
+
+def text_label(text: Column) -> Column:
+    """As heading(), but a label without a body is none. Take its fields from a column that holds it, so that it is computed once."""
+    full = lambda h: F.length(h["body"]) > 0
+    return let(heading(text), lambda h: F.struct(F.when(full(h), h["section"]).alias("section"), F.when(full(h), h["body"]).alias("body")))
 
 
 def text_section(text: Column) -> tuple[Column, Column]:
-    """As heading(), but a label without a body is none."""
-    section, body = heading(text)
-    full = F.length(body) > 0
-    return F.when(full, section), F.when(full, body)
+    """The fields of text_label(), each computed by itself."""
+    label = text_label(text)
+    return label["section"], label["body"]
 
 
 def key_section(key: Column) -> Column:

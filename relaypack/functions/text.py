@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,9 +11,18 @@ from pyspark.sql import functions as F
 from relaypack.functions.patterns import BLANKS, LINE_END
 
 
+#: The characters of the class BLANKS, one by one.
+_BLANK_CHARS = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{BLANKS}]", c))
+
+
 def strip(col: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(col, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    """Without Unicode white space at both ends; looks at the ends only."""
+    return F.btrim(col, F.lit(_BLANK_CHARS))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once wherever f uses it: an expression that is repeated grows the plan by as much at each step."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def is_blank(col: Column) -> Column:

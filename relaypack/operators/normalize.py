@@ -108,7 +108,7 @@ def normalize(messages: DataFrame, *, nested: bool = False) -> DataFrame:
     is_object, is_text = F.col("content_type") == "object", F.col("content_type") == "text"
     none = F.lit(None).cast(f"array<{PART}>")
     m = messages.withColumn("_free", ~overridden)
-    m = m.withColumn("_texts", split_texts(F.when(F.col("_free") & is_text & cl.maybe_heading_lines(F.col("content")) & F.col("content").rlike(LINE_END), F.col("content"))))
+    m = m.withColumn("_texts", split_texts(F.when(F.col("_free") & is_text & F.col("content").rlike(LINE_END) & cl.maybe_heading_lines(F.col("content")), F.col("content"))))
     parts = F.col("_texts")
     if nested:
         parts = F.when(F.col("_free") & is_object & (F.size(cl.structured_sections(F.col("content"))) >= 2), split_object()).otherwise(parts)
@@ -119,11 +119,11 @@ def normalize(messages: DataFrame, *, nested: bool = False) -> DataFrame:
         "source_idx": F.col("msg_idx"), "part": F.coalesce("part", F.lit(0)), "_split": split, "_how": F.when(split & (F.col("content_type") == "text"), "text_split").when(split, "structured_split"),
         "content_type": F.coalesce("_p.content_type", "content_type"), "content": F.coalesce("_p.content", "content"), "_section": F.col("_p.section"),
     })
-    head, body = cl.text_section(F.when(F.col("content_type") == "text", F.col("content")))
+    m = m.withColumn("_label", cl.text_label(F.when(F.col("content_type") == "text", F.col("content"))))
     raw_hint = F.lower(cl.hint(F.col("metadata_json")))
     hinted = F.coalesce(cl.key_section(raw_hint), F.when(F.regexp_replace(raw_hint, "[^a-z0-9]+", "_").isin(*[s for s in SECTIONS if s != "artifacts"]), F.regexp_replace(raw_hint, "[^a-z0-9]+", "_")))
     objects = F.when(F.col("content_type") == "object", cl.structured_sections(F.col("content")))
-    m = m.withColumns({"_head": head, "_body": body, "_hint": hinted, "_obj": F.when(F.size(objects) == 1, F.get(objects, 0))})
+    m = m.withColumns({"_head": F.col("_label.section"), "_body": F.col("_label.body"), "_hint": hinted, "_obj": F.when(F.size(objects) == 1, F.get(objects, 0))})
     signals = F.filter(F.array(
         F.struct(F.col("_hint").alias("s"), F.lit("metadata_hint").alias("r")), F.struct(F.when(cl.is_tool(), F.lit("tool_results")).alias("s"), F.lit("tool_role_or_kind").alias("r")),
         F.struct(F.col("_obj").alias("s"), F.lit("structured_key").alias("r")), F.struct(F.col("_head").alias("s"), F.lit("text_prefix").alias("r")),
@@ -138,7 +138,7 @@ def normalize(messages: DataFrame, *, nested: bool = False) -> DataFrame:
     })
     by_text = ~F.col("_split") & (F.size(exp) == 0) & F.col("_head").isNotNull() & F.col("section").isNotNull()
     m = m.withColumns({"content": F.when(by_text, F.col("_body")).otherwise(F.col("content")), "kind": F.when((F.size(exp) == 0) | F.col("_split"), F.coalesce("section", "kind")).otherwise(F.col("kind")), "conflict": F.coalesce("conflict", F.lit(False))})
-    return m.drop("_free", "_texts", "_parts", "_p", "_split", "_how", "_section", "_head", "_body", "_hint", "_obj", "_sig")
+    return m.drop("_free", "_texts", "_parts", "_p", "_split", "_how", "_section", "_label", "_head", "_body", "_hint", "_obj", "_sig")
 
 
 def report(normalized: DataFrame) -> DataFrame:

@@ -67,8 +67,9 @@ select doc_id, section, md5(body) as body from p join (values {_LABEL_ROWS}) l(l
 def classify_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under one of ten openings."""
     d = table(spark, sf_dir, "documents").selectExpr("doc_id", f"concat({_LABELLED}, trim(both ' \n\t\r\f' from coalesce(text, ''))) as t")
-    section, body = cl.text_section(F.col("t"))
-    return d.select("doc_id", section.alias("section"), F.md5(body).alias("body")).where("section is not null")
+    # exploded, so that a filter doesn't compute the section once more
+    found = F.explode(F.filter(F.array(cl.text_label(F.col("t"))), lambda h: h["section"].isNotNull())).alias("h")
+    return d.select("doc_id", found).select("doc_id", "h.section", F.md5("h.body").alias("body"))
 
 
 _OBJECT = """case n_chars % 5 when 0 then concat('{"Decision":"x","note":', doc_id, '}') when 1 then concat('{"to-do":"x","TODO":', doc_id, '}') when 2 then '{"decision":1,"evidence":2}' when 3 then '{"other":1}' else '{"done":true,"completed_work":[1]}' end"""

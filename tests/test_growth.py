@@ -2,9 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from relaypack.functions import classify, text
 from relaypack.operators import spans
 from relaypack.operators.frames import frames, text_messages
-from pyspark.sql import functions as F
 
 
 def _plan(df):
@@ -56,3 +58,18 @@ def test_closure_of_a_long_chain(spark):
         need[u] = {u}.union(*(need[c] for c in context[u]))
     want = sorted([(h, u, n) for h in (1, 2) for u in ids for n in need[u]] + [(3, "p", "p")] * 2)
     assert sorted(map(tuple, spans.closure(df).collect())) == want
+
+
+def test_headings_are_read_once(spark):
+    """A heading read again wherever it is used made the plan, and its code, many times as large."""
+    df = spark.createDataFrame([("- **Decision** : x",), ("Todo：y\n",), ("**Must:**",), (None,)], "t string")
+    out = df.withColumn("h", classify.text_label(F.col("t")))
+    assert [tuple(r.h) for r in out.collect()] == [("decisions", "x"), ("pending_work", "y"), (None, None), (None, None)]
+    assert _plan(out).count("regexp_replace") == 1 and _plan(out).count("rlike") + _plan(out).count("RLIKE") <= 2
+
+
+def test_blanks_are_stripped_as_python_does(spark):
+    blanks = [c for c in map(chr, range(0x10000)) if c.isspace()]
+    texts = [a + x + b for a in ("", *blanks) for b in ("", " \n", "　") for x in ("", "a", "é \n🙂", "a b")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(text.strip(F.col("t"))).collect()] == [t.strip() for t in texts]
