@@ -16,6 +16,7 @@ from relaypack.functions.arrow import arrow_function
 from relaypack.functions import classify as cl
 from relaypack.functions.patterns import HINT_KEYS, LINE_END, TEXT_LABELS
 from relaypack.operators.frames import Frames
+from relaypack.operators.shared import cut
 from relaypack.operators.state import explicit_sections
 from relaypack.schema import SECTIONS
 
@@ -150,11 +151,10 @@ def report(normalized: DataFrame) -> DataFrame:
 
 
 def normalize_frames(f: Frames) -> tuple[Frames, DataFrame]:
-    """Frames with split and classified messages, numbered anew, and the report."""
+    """Frames with split and classified messages, numbered anew, and the report. The messages are written once: all that follows reads them several times."""
     n = normalize(f.messages, nested=f.nested)
+    n = cut(n.withColumn("msg_idx", (F.row_number().over(Window.partitionBy("handoff_id").orderBy("source_idx", "part")) - 1).cast("int")), "normalized")
     f = f.deny("history_normalizer", "contract", n.where("conflict"))
     told = report(n)
-    rows = n.withColumn("msg_idx", (F.row_number().over(Window.partitionBy("handoff_id").orderBy("source_idx", "part")) - 1).cast("int"))
-    rows = rows.drop("part", "rule", "conflict", "source_idx").join(f.denials.select("handoff_id"), "handoff_id", "left_anti")
+    rows = n.drop("part", "rule", "conflict", "source_idx").join(f.denials.select("handoff_id"), "handoff_id", "left_anti")
     return f.with_(messages=rows).event("history_normalizer", "classified", told.select("handoff_id", F.col("classified").alias("count"))), told
-

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from relaypack.functions import classify, text
-from relaypack.operators import spans
+from relaypack.operators import normalize, spans
 from relaypack.operators.frames import frames, text_messages
 
 
@@ -73,3 +73,16 @@ def test_blanks_are_stripped_as_python_does(spark):
     texts = [a + x + b for a in ("", *blanks) for b in ("", " \n", "　") for x in ("", "a", "é \n🙂", "a b")]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(text.strip(F.col("t"))).collect()] == [t.strip() for t in texts]
+
+
+def _messages(spark, n=3):
+    rows = spark.range(n).selectExpr("id as h", "'Decision: x\nTODO: y' as t")
+    m = text_messages(rows, F.col("h"), F.lit(0), F.lit("user"), F.col("t"))
+    return frames(spark, rows.selectExpr("h as handoff_id", "'s' as sender", "'r' as receiver", "'{}' as metadata_json"), m)
+
+
+def test_messages_are_normalized_once(spark):
+    f, told = normalize.normalize_frames(_messages(spark))
+    for df in (f.messages, told):
+        assert "ArrowEvalPython" not in _plan(df) and "regexp" not in _plan(df).lower()
+    assert sorted((r.section, r.content) for r in f.messages.collect()) == sorted([("decisions", "x"), ("pending_work", "y")] * 3)
