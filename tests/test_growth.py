@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from relaypack.functions import classify, text
 from relaypack.operators import normalize, spans
+from relaypack.operators.compiler import Contract
 from relaypack.operators.frames import frames, text_messages
+from relaypack.plans import history
 
 
 def _plan(df):
@@ -86,3 +88,13 @@ def test_messages_are_normalized_once(spark):
     for df in (f.messages, told):
         assert "ArrowEvalPython" not in _plan(df) and "regexp" not in _plan(df).lower()
     assert sorted((r.section, r.content) for r in f.messages.collect()) == sorted([("decisions", "x"), ("pending_work", "y")] * 3)
+
+
+def test_histories_are_scanned_once(spark):
+    """What a chat graph's scan finds is read from a table by all that follows."""
+    items = spark.createDataFrame([(1, 0, '{"type":"ai","content":"Decision: a"}'), (2, 0, '{"type":"tool","tool_call_id":"c","content":"x"}')], "handoff_id bigint, pos bigint, item string")
+    heads = items.selectExpr("handoff_id", "'s' as sender", "'r' as receiver", "'{}' as metadata_json")
+    out, _ = history.compile_graph(spark, heads, items, Contract("g", ("decisions",), (), 400))
+    assert [r.handoff_id for r in out.packets.collect()] == [1]
+    assert "get_json_object(item" not in _plan(out.budget) and "get_json_object(item" not in _plan(out.frames.denials)
+    assert [(r.handoff_id, r.code) for r in out.frames.denials.collect()] == [(2, "handoff_integrity")]
