@@ -8,7 +8,7 @@ an Arrow function; briefs and excerpts are a fold over integers.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -106,40 +106,58 @@ class _Fitted:
         return out
 
 
+_ROWS = 1 << 14
+
+
 def fit_units(priced: DataFrame, plan: DataFrame, heads: DataFrame, max_bytes: int) -> DataFrame:
     """handoff_id, place, unit_id, section, planned, state (kept or omitted), total: essentials and their context, then optional units by
     rank while the whole packet fits. Essentials alone over the limit give one row, ``over``.
 
-    One handoff's units are handled together; ``plan``: handoff_id, rank, unit_id, section, must; ``heads``: handoff_id, base.
+    One handoff's units are handled together, its units and its plan being rows of one sorted table; ``plan``: handoff_id, rank, unit_id,
+    section, must; ``heads``: handoff_id, base.
     """
-    wide = plan.join(heads, "handoff_id").select("handoff_id", "rank", "unit_id", "section", "must", "base")
+    wide = plan.join(heads, "handoff_id").select("handoff_id", "unit_id", "rank", "section", "must", "base")
+    both = priced.select("handoff_id", "unit_id", "origin", "idx", "part", "context", "head", "piece", "gap").unionByName(wide, allowMissingColumns=True)
+    both = both.repartition("handoff_id").sortWithinPartitions("handoff_id")
     names = ["handoff_id", "place", "unit_id", "section", "planned", "state", "total"]
-
-    def run(units: pa.Table, chosen: pa.Table) -> pa.Table:
-        rows = []
-        if chosen.num_rows:
-            who, picks = chosen.column("handoff_id")[0].as_py(), sorted(chosen.to_pylist(), key=lambda r: r["rank"])
-            fit = _Fitted({u["unit_id"]: u for u in units.to_pylist()}, picks[0]["base"])
-            planned = {p["unit_id"] for p in picks}
-            fit.chosen = fit.around({p["unit_id"]: p["section"] for p in picks if p["must"]})
-            if fit.size() > max_bytes:
-                rows.append((who, 0, None, None, None, "over", fit.size()))
-            else:
-                omitted = []
-                for p in picks:
-                    if p["unit_id"] not in fit.chosen:
-                        more = fit.around({p["unit_id"]: p["section"]})
-                        if fit.size(more) <= max_bytes:
-                            fit.chosen |= more
-                        else:
-                            omitted.append((p["unit_id"], p["section"]))
-                total = fit.size()
-                rows += [(who, i, u, s, u in planned, "kept", total) for i, (u, s) in enumerate(fit.chosen.items())]
-                rows += [(who, i, u, s, True, "omitted", total) for i, (u, s) in enumerate(omitted, len(rows))]
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64()]
-        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
-
-    return priced.groupBy("handoff_id").cogroup(wide.groupBy("handoff_id")).applyInArrow(run, "handoff_id bigint, place int, unit_id string, section string, planned boolean, state string, total bigint")
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64()]
+
+    def fitted(who: int, units: list[dict], picks: list[dict]) -> list[tuple]:
+        if not picks:
+            return []
+        picks.sort(key=lambda r: r["rank"])
+        fit = _Fitted({u["unit_id"]: u for u in units}, picks[0]["base"])
+        planned = {p["unit_id"] for p in picks}
+        fit.chosen = fit.around({p["unit_id"]: p["section"] for p in picks if p["must"]})
+        if fit.size() > max_bytes:
+            return [(who, 0, None, None, None, "over", fit.size())]
+        omitted = []
+        for p in picks:
+            if p["unit_id"] not in fit.chosen:
+                more = fit.around({p["unit_id"]: p["section"]})
+                if fit.size(more) <= max_bytes:
+                    fit.chosen |= more
+                else:
+                    omitted.append((p["unit_id"], p["section"]))
+        total = fit.size()
+        rows = [(who, i, u, s, u in planned, "kept", total) for i, (u, s) in enumerate(fit.chosen.items())]
+        return rows + [(who, i, u, s, True, "omitted", total) for i, (u, s) in enumerate(omitted, len(rows))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+        who, units, picks, out = None, [], [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["handoff_id"] != who:
+                    out += fitted(who, units, picks)
+                    who, units, picks = row["handoff_id"], [], []
+                (units if row["base"] is None else picks).append(row)
+            if len(out) >= _ROWS:
+                yield table(out)
+                out = []
+        yield table(out + fitted(who, units, picks))
+
+    return both.mapInArrow(run, "handoff_id bigint, place int, unit_id string, section string, planned boolean, state string, total bigint")
 
 
 def _as_frames(f: Frames, units: DataFrame, kept: DataFrame) -> Frames:
@@ -192,7 +210,7 @@ def compile_selected(f: Frames, contract: Contract, selector: Callable[[DataFram
     live = f.live().select("handoff_id")
     units = units.join(live, "handoff_id", "left_semi")
     estimates = se.insertion_estimates(units).select("handoff_id", "unit_id", "estimate")
-    plan, coverage = selector(units.join(estimates, ["handoff_id", "unit_id"]))
+    plan, coverage = selector(cut(units.join(estimates, ["handoff_id", "unit_id"]), "request"))  # a selector reads it several times
     plan, coverage = cut(plan.join(live, "handoff_id", "left_semi"), "plan"), cut(coverage.join(live, "handoff_id", "left_semi"), "coverage")
     f = f.deny("model_selector", "contract", se.check_plan(units, plan, coverage, contract, live))
     live = f.live().select("handoff_id")

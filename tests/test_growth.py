@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from relaypack.functions import classify, text
-from relaypack.operators import normalize, spans
+from relaypack.operators import model, normalize, spans
 from relaypack.operators.compiler import Contract
 from relaypack.operators.frames import frames, text_messages
 from relaypack.plans import history
@@ -98,3 +98,31 @@ def test_histories_are_scanned_once(spark):
     assert [r.handoff_id for r in out.packets.collect()] == [1]
     assert "get_json_object(item" not in _plan(out.budget) and "get_json_object(item" not in _plan(out.frames.denials)
     assert [(r.handoff_id, r.code) for r in out.frames.denials.collect()] == [(2, "handoff_integrity")]
+
+
+def test_a_selection_is_fitted_in_one_stream(spark):
+    """A group of its own for each handoff cost more than its fit; the request is read from a table by its selector."""
+    priced = spark.createDataFrame([(h, f"m0.{i}", "m", 0, i, [], 10, 5 + i, 0) for h in (1, 2) for i in range(3)], "handoff_id bigint, unit_id string, origin string, idx int, part int, context array<string>, head bigint, piece bigint, gap bigint")
+    plan = spark.createDataFrame([(1, 0, "m0.0", "evidence", True), (1, 1, "m0.2", "evidence", False), (2, 0, "m0.1", "evidence", True)], "handoff_id bigint, rank int, unit_id string, section string, must boolean")
+    heads = spark.createDataFrame([(1, 10), (2, 90)], "handoff_id bigint, base bigint")
+    out = model.fit_units(priced, plan, heads, 60)
+    assert "CoGroup" not in _plan(out)
+    got = sorted((r.handoff_id, r.place, r.unit_id, r.state, r.total) for r in out.collect())
+    assert got == [(1, 0, "m0.0", "kept", 43), (1, 1, "m0.2", "omitted", 43), (2, 0, None, "over", 124)]
+
+    asked = []
+
+    def selector(request):
+        asked.append(_plan(request))
+        first = request.where("part = 0").select("handoff_id", F.lit(0).alias("rank"), "unit_id", F.lit("decisions").alias("section"), F.lit(True).alias("essential"))
+        return first, first.select("handoff_id", F.lit(0).alias("need"), F.array("unit_id").alias("unit_ids"))
+
+    out = model.compile_selected(_messages(spark), Contract("g", ("decisions",), (), 400, ("n",)), selector)
+    assert out.compiled.packets.count() == 3 and "MapInArrow" not in asked[0] and "Join" not in asked[0]
+
+
+def test_plain_lines_are_tiled_without_the_pattern(spark):
+    r = random.Random(9)
+    texts = ["", "\n", "a", "a\n", "\n\na", None] + ["".join(r.choices(["a b", "\n", "\n", " ", "é", "``", "~", "`" * 3, "\r"], k=r.randint(1, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans.tiles(F.col("t")).alias("x"), F.regexp_extract_all("t", F.lit(spans.TILE), F.lit(0)).alias("y"))
+    assert all(row.x == row.y for row in df.collect()) and "split" in _plan(df)
