@@ -124,3 +124,17 @@ def test_pages_decode_references(spark):
     from relaypack.llm.html_density import visible_text
 
     assert visible_text(web.first().html) == "café été"
+
+
+def test_pages_are_read_in_the_worker_that_judges_them(spark, sf_dir, monkeypatch):
+    """A function of its own for the visible text was a second Python worker beside each task's first."""
+    plans = {}
+
+    def seen(spark, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(spark, df, name)
+
+    materialize = langid.materialize
+    monkeypatch.setattr(langid, "materialize", seen)
+    langid.pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet").limit(5), spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert plans["likelihoods"].count("MapInArrow") == 1
